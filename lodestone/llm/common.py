@@ -47,7 +47,7 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    df.write.option("compression", "zstd").parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import byte_bpe, packing, suffix_quality
+from lodestone.llm import byte_bpe, packing, sharding, suffix_quality, toxicity
 from lodestone.llm.common import table
 
 
@@ -26,6 +26,14 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -35,6 +43,8 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op3_quality_rules": op3_quality_rules,
+    "op4_toxicity": op4_toxicity,
+    "op6_sharding": op6_sharding,
     "op7_byte_bpe": op7_byte_bpe,
 }
 
