@@ -34,7 +34,7 @@ from lodestone.llm.common import small_batches, text_chunks, texts_of
 MAX_TRAIN = 2000
 BUCKETS, DIM, EPOCHS, RATE, BATCH, SCALE = 1 << 17, 8, 12, 0.15, 32, 30.0
 SHORTEST, LONGEST = 3, 6
-#: Sample texts that must have a bucket, and the decay of vectors a step.
+#: Sample texts that must have a bucket (fewer in small samples), and the decay of vectors a step.
 LEAST_TEXTS, DECAY = 8, 2e-5
 EDGES = b".,;:!?\"'()[]{}#*$%&|<>-"
 
@@ -67,7 +67,7 @@ def constant(share: float) -> Model:
 
 
 def train(texts: list[bytes], labels: np.ndarray, prior: float, seed: int = 7) -> Model:
-    """``prior``: share of label 1 among all labels; the intercept goes half of the way to it."""
+    """``prior``: share of label 1 among all labels; the intercept is set between it and even odds."""
     labels = np.asarray(labels, np.int64)
     share = labels.mean() if len(labels) else 0.0
     if not 0 < share < 1:
@@ -83,7 +83,7 @@ def train(texts: list[bytes], labels: np.ndarray, prior: float, seed: int = 7) -
     for ids, _ in bags:
         if len(ids):
             frequency[np.unique(np.concatenate([grams[i] for i in ids]))] += 1
-    used = frequency >= LEAST_TEXTS
+    used = frequency >= min(max(labels.sum() // 40, 2), LEAST_TEXTS)
     grams = [g[used[g]] for g in grams]
     known = np.array([len(g) > 0 for g in grams], bool)
     bags = [(ids[known[ids]], share[known[ids]]) for ids, share in bags]
@@ -128,8 +128,8 @@ def train(texts: list[bytes], labels: np.ndarray, prior: float, seed: int = 7) -
             seen_b += grad_b**2
             bias -= rate * grad_b / np.sqrt(seen_b)
     prior = min(max(prior, 1e-6), 1 - 1e-6)
-    # half of the way from the sample's share to the prior: a missed toxic text costs more than a false alarm
-    bias = bias + np.array([0.0, (np.log(prior / (1 - prior)) - np.log(share / (1 - share))) / 2])
+    # from the sample's share to half the prior's log odds: a missed toxic text costs more than a false alarm
+    bias = bias + np.array([0.0, np.log(prior / (1 - prior)) / 2 - np.log(share / (1 - share))])
     return Model(vectors, weights, bias, used)
 
 
