@@ -163,8 +163,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(a, b) long links -> (node, component) with component the smallest node reachable.
 
     Alternates large-star and small-star steps: each is one aggregation for the
-    minimum and one join, both by node, so that a hub's links are pre-aggregated
-    and its join side can be split.  Every round is written to the shared folder;
+    minimum and one join of written tables, both by node, so that a hub's links are
+    pre-aggregated and its join side can be split.  Every round is written to the shared folder;
     links never reach the driver, only their count and a checksum do.
     """
     def stamp(e: DataFrame) -> tuple:
@@ -176,9 +176,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     last = stamp(e)
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = cut(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = (
             large.join(low, "u")
             .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))

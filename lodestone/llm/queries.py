@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import byte_bpe, chat_format, packing, sharding, suffix_quality, toxicity
+from lodestone.llm import byte_bpe, chat_format, minhash_dedup, packing, sharding, suffix_quality, toxicity
 from lodestone.llm.common import table
 
 
@@ -49,6 +49,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op3_quality_rules": op3_quality_rules,
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_chat_format": op5_chat_format,
     "op6_sharding": op6_sharding,
     "op7_byte_bpe": op7_byte_bpe,
+    "op9_minhash_dedup": op9_minhash_dedup,
 }
 
 #: Escapes in the SQL are counted, not made: one character for each backslash and control string.
