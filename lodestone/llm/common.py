@@ -199,3 +199,54 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 def crc32_of(column: str | Column) -> Column:
     return F.crc32(F.encode(column, "UTF-8")) if isinstance(column, str) else F.crc32(column)
+
+
+def map_groups(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
+    """``fn(columns: dict of numpy arrays) -> list of arrays`` for each group of ``keys``, streamed.
+
+    Rows are dealt and sorted by the keys, and many small groups share a batch; list
+    columns come as (values, offsets).  A group must fit in memory: callers split it.
+    """
+    dealt = df.repartition(*keys).sortWithinPartitions(*keys)
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def emit(piece: pa.Table) -> pa.RecordBatch | None:
+            cols = {}
+            for c in names:
+                a = piece.column(c).combine_chunks()
+                if pa.types.is_list(a.type):
+                    cols[c] = (a.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(a), 0).to_numpy(zero_copy_only=False))]).astype(np.int64))
+                else:
+                    cols[c] = a.to_numpy(zero_copy_only=False)
+            out = fn(cols)
+            return pa.RecordBatch.from_arrays(out, [f.strip().split()[0] for f in schema.split(",")]) if out is not None else None
+
+        held: list[pa.RecordBatch] = []
+        last: tuple | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+            new = np.zeros(batch.num_rows, bool)
+            for c in codes:
+                new[1:] |= c[1:] != c[:-1]
+            first = tuple(c[0] for c in codes)
+            new[0] = last is not None and first != last
+            last = tuple(c[-1] for c in codes)
+            at = 0
+            for edge in np.flatnonzero(new).tolist():
+                if edge > at:
+                    held.append(batch.slice(at, edge - at))
+                if held:
+                    out = emit(pa.Table.from_batches(held))
+                    if out is not None:
+                        yield out
+                held, at = [], edge
+            held.append(batch.slice(at))
+        if held:
+            out = emit(pa.Table.from_batches(held))
+            if out is not None:
+                yield out
+
+    return dealt.mapInArrow(run, schema)

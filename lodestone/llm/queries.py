@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import byte_bpe, chat_format, minhash_dedup, packing, secret_scan, sharding, suffix_quality, toxicity
+from lodestone.llm import byte_bpe, chat_format, minhash_dedup, packing, secret_scan, sharding, suffix_quality, toxicity, vector_dedup
 from lodestone.llm.common import table
 
 
@@ -55,6 +55,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"), least=0.98)
+
+
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_chat_format": op5_chat_format,
     "op6_sharding": op6_sharding,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_vector_dedup": op8_vector_dedup,
     "op9_minhash_dedup": op9_minhash_dedup,
 }
 
