@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import byte_bpe, chat_format, minhash_dedup, packing, secret_scan, sharding, suffix_quality, toxicity, vector_dedup
+from lodestone.llm import byte_bpe, chat_format, minhash_dedup, packing, secret_scan, sharding, substring_dedup, suffix_quality, toxicity, vector_dedup
 from lodestone.llm.common import table
 
 
@@ -63,6 +63,10 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.passages(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_secret_scan": op2_secret_scan,
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_byte_bpe": op7_byte_bpe,
     "op8_vector_dedup": op8_vector_dedup,
     "op9_minhash_dedup": op9_minhash_dedup,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 #: Escapes in the SQL are counted, not made: one character for each backslash and control string.
