@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,15 +37,19 @@ BUCKETS, DIM, EPOCHS, RATE, BATCH, SCALE = 1 << 17, 8, 12, 0.15, 32, 30.0
 SHORTEST, LONGEST = 3, 6
 #: Sample texts that must have a bucket (fewer in small samples), and the decay of vectors a step.
 LEAST_TEXTS, DECAY = 8, 2e-5
-EDGES = b".,;:!?\"'()[]{}#*$%&|<>-"
+EDGES = ".,;:!?\"'()[]{}#*$%&|<>-"
 
 
-def ngrams(word: bytes) -> np.ndarray:
+def stem(word: bytes) -> str:
+    return word.decode("utf-8", "replace").lower().strip(EDGES)[:64]
+
+
+def ngrams(text: str) -> set[int]:
     """Buckets of a word and its character n-grams, with marks at both ends."""
-    text = word.decode("utf-8", "replace").lower().strip(EDGES.decode())[:64]
     marked = f"<{text}>"
-    grams = {marked} | {marked[i : i + n] for n in range(SHORTEST, LONGEST + 1) for i in range(len(marked) - n + 1)}
-    return np.unique([zlib.crc32(g.encode("utf-8", "replace")) % BUCKETS for g in grams])
+    grams = {marked[i : i + n] for n in range(SHORTEST, LONGEST + 1) for i in range(len(marked) - n + 1)}
+    grams.add(marked)
+    return {zlib.crc32(g.encode("utf-8", "replace")) % BUCKETS for g in grams}
 
 
 @dataclass
@@ -78,7 +83,7 @@ def train(texts: list[bytes], labels: np.ndarray, prior: float, seed: int = 7) -
         ids, count = np.unique([index.setdefault(w, len(index)) for w in t.split()] or np.zeros(0, np.int64), return_counts=True)
         bags.append((ids.astype(np.int64), count / max(1, count.sum())))
     # a bucket counts where enough sample texts have it; the others would only let single words be learnt by heart
-    grams = [ngrams(w) for w in index]
+    grams = [np.array(sorted(ngrams(stem(w))), np.int64) for w in index]
     frequency = np.zeros(BUCKETS, np.int64)
     for ids, _ in bags:
         if len(ids):
@@ -153,29 +158,52 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
 
 
 class WordMargin(dict):
-    LIMIT = 400_000
+    """word -> mean margin of its n-grams that the model uses; words that differ at the edges or in case share one."""
+
+    LIMIT = 800_000
 
     def __init__(self, logits: np.ndarray) -> None:
-        self.logits = logits
+        self.logits = logits.tolist()
+        self.stems: dict[str, float] = {}
 
     def __missing__(self, word: bytes) -> float:
-        got = self.logits[ngrams(word)]
-        got = got[~np.isnan(got)]
-        m = self[word] = float(got.mean()) if len(got) else 0.0
+        text = stem(word)
+        m = self.stems.get(text)
+        if m is None:
+            got = [x for x in map(self.logits.__getitem__, ngrams(text)) if x == x]
+            m = self.stems[text] = sum(got) / len(got) if got else 0.0
+        self[word] = m
         return m
 
+    def trim(self) -> None:
+        if len(self) > self.LIMIT:
+            self.clear()
+        if len(self.stems) > self.LIMIT:
+            self.stems.clear()
+
+
+_MARGINS: dict[int, WordMargin] = {}  # of the last model that a worker scored with
+
+
+def margin_of(key: int, shipped: Broadcast) -> WordMargin:
+    """The worker's own, kept from task to task."""
+    if key not in _MARGINS:
+        _MARGINS.clear()
+        _MARGINS[key] = WordMargin(shipped.value)
+    return _MARGINS[key]
+
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) for each row of ``docs``, from its whole text."""
     small_batches(docs.sparkSession)
     logits, intercept = model.logits()
+    key = zlib.crc32(logits.tobytes())
     shipped = docs.sparkSession.sparkContext.broadcast(logits)  # BUCKETS floats, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        margin = WordMargin(shipped.value)
+        margin = margin_of(key, shipped)
         for batch in text_chunks(batches, "text"):
-            if len(margin) > margin.LIMIT:
-                margin.clear()
+            margin.trim()
             out = []
             for t in texts_of(batch, "text"):
                 words = t.split()
