@@ -165,24 +165,34 @@ def repeats(words: np.ndarray, starts: np.ndarray, least: int = MIN_WORDS) -> tu
     return covered(np.where(most >= 3, 3, 0)), covered(np.where(most >= least, most, 0)), np.where(longest >= least, longest, 0), count
 
 
+def counts_of(texts: list[bytes], least: int) -> list[np.ndarray]:
+    """The columns of COUNTS for the texts."""
+    split = [t.split() for t in texts]
+    starts = np.concatenate([[0], np.cumsum([len(s) for s in split])]).astype(np.int64)
+    flat = np.empty(starts[-1], object)
+    flat[:] = [w for s in split for w in s]
+    codes = pd.factorize(flat)[0].astype(np.int64) if len(flat) else np.zeros(0, np.int64)
+    del flat, split
+    n_chars = [len(t.decode("utf-8", "replace")) - sum(map(t.count, SPACES)) for t in texts]
+    symbols = [sum(map(t.count, SYMBOLS)) for t in texts]
+    dup = []
+    for t in texts:
+        lines = [x for x in t.split(b"\n") if x.strip(b" \t\n\v\f\r")]
+        dup.append(len(lines) - len(set(lines)))
+    return [np.asarray(c, np.int64) for c in (np.diff(starts), n_chars, symbols, dup, *repeats(codes, starts, least))]
+
+
 def measure(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     for batch in text_chunks(batches, "text"):
-        texts = texts_of(batch, "text")
-        split = [t.split() for t in texts]
-        starts = np.concatenate([[0], np.cumsum([len(s) for s in split])]).astype(np.int64)
-        flat = np.empty(starts[-1], object)
-        flat[:] = [w for s in split for w in s]
-        codes = pd.factorize(flat)[0].astype(np.int64) if len(flat) else np.zeros(0, np.int64)
-        del flat, split
-        n_chars = [len(t.decode("utf-8", "replace")) - sum(map(t.count, SPACES)) for t in texts]
-        symbols = [sum(map(t.count, SYMBOLS)) for t in texts]
-        dup = []
-        for t in texts:
-            lines = [x for x in t.split(b"\n") if x.strip(b" \t\n\v\f\r")]
-            dup.append(len(lines) - len(set(lines)))
-        triple, cover, longest, count = repeats(codes, starts, least)
-        columns = [np.diff(starts), n_chars, symbols, dup, triple, cover, longest, count]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(np.asarray(c, np.int64)) for c in columns)], ["doc_id", *COUNTS])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, counts_of(texts_of(batch, "text"), least))], ["doc_id", *COUNTS])
+
+
+def verdict(max_covered: int = MAX_COVERED, max_longest: int = MAX_LONGEST, max_longest_share: int = MAX_LONGEST_SHARE) -> tuple[str, str]:
+    """SQL of the base rule's and of the method's rejection."""
+    return (
+        "n_words < 50 OR 100 * n_repeat_words > 50 * n_words",
+        f"100 * n_covered_words > {max_covered} * n_words OR (longest_repeat > {max_longest} AND 100 * longest_repeat > {max_longest_share} * n_words)",
+    )
 
 
 def judge(
@@ -202,6 +212,21 @@ def judge(
     """
     small_batches(docs.sparkSession)
     counts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(lambda it: measure(it, min_words), SCHEMA)
-    failed = F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
-    bad = F.expr(f"100 * n_covered_words > {max_covered} * n_words OR (longest_repeat > {max_longest} AND 100 * longest_repeat > {max_longest_share} * n_words)")
+    failed, bad = map(F.expr, verdict(max_covered, max_longest, max_longest_share))
     return counts.withColumn("base_failed", failed).withColumn("kept", ~failed & ~bad)
+
+
+def keep(docs: DataFrame, text_column: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """The rows of ``docs`` that base rule and verdict keep, in one pass with no join: rows are measured and dropped in place."""
+    small_batches(docs.sparkSession)
+    schema = docs.schema
+    text = F.col(text_column).cast("string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_chunks(batches, "__text"):
+            n = dict(zip(COUNTS, counts_of(texts_of(batch, "__text"), min_words), strict=True))
+            failed = (n["n_words"] < 50) | (100 * n["n_repeat_words"] > 50 * n["n_words"])
+            bad = (100 * n["n_covered_words"] > MAX_COVERED * n["n_words"]) | ((n["longest_repeat"] > MAX_LONGEST) & (100 * n["longest_repeat"] > MAX_LONGEST_SHARE * n["n_words"]))
+            yield batch.select(schema.names).filter(pa.array(~(failed | bad)))
+
+    return docs.withColumn("__text", text).mapInArrow(run, schema)
