@@ -7,6 +7,7 @@ budget and not the number of rows that happen to share a batch.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -43,10 +44,47 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_SCRATCH: list[list[str]] = []
+
+
+class scratch:
+    """Tables that ``cut`` writes inside of the block are removed at its end, but for those of ``keep``.
+
+    For steps whose results are written before the block ends.  The collector is asked to
+    run too, so that the shuffle files of finished steps may go.
+    """
+
+    def __init__(self, spark: SparkSession, collect: bool = True) -> None:
+        self.spark, self.collect = spark, collect
+
+    def __enter__(self) -> scratch:
+        _SCRATCH.append([])
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df`` as a table that outlives the block (it belongs to the block around it)."""
+        mine = _SCRATCH.pop()
+        try:
+            return cut(df)
+        finally:
+            _SCRATCH.append(mine)
+
+    def __exit__(self, *error: object) -> None:
+        jvm, sc = self.spark._jvm, self.spark.sparkContext
+        for at in _SCRATCH.pop():
+            path = jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        if self.collect:
+            gc.collect()
+            jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    if _SCRATCH:
+        _SCRATCH[-1].append(at)
     df.write.option("compression", "zstd").parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
@@ -170,23 +208,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     def stamp(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
+    spark = edges.sparkSession
     e = cut(
         edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
     last = stamp(e)
     for _ in range(max_rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = cut(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = (
-            large.join(low, "u")
-            .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-            .select("e.u", "e.v")
-            .filter("u != v")
-            .distinct()
-        )
-        e = cut(small)
+        with scratch(spark, collect=False) as step:
+            e = step.keep(_round(e))
         now = stamp(e)
         if now == last:
             break
@@ -197,6 +226,22 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
+def _round(e: DataFrame) -> DataFrame:
+    """A large-star and a small-star step over links (u, v), u > v."""
+    both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+    large = cut(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+    low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+    small = (
+        large.join(low, "u")
+        .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        .select("e.u", "e.v")
+        .filter("u != v")
+        .distinct()
+    )
+    return small.filter("u > v")
+
+
 def crc32_of(column: str | Column) -> Column:
     return F.crc32(F.encode(column, "UTF-8")) if isinstance(column, str) else F.crc32(column)
 
