@@ -10,9 +10,10 @@
    and that pair is confirmed on the full sets: links grow with members, not pairs.
 4. Components of those links are taken.  Where a bucket still meets several
    components, all its pairs across components are compared by sketch, in blocks of
-   bounded size, and those within reach of the threshold are confirmed too.  So no
-   bucket is capped and no link between components is lost; pairs inside a component
-   need no check.
+   bounded size.  Members with a partner within reach of the threshold get their full
+   sets sent to that block, which confirms there and returns the links that join
+   components, at most one a member.  So no bucket is capped, no pairs are written, and
+   no link between components is lost; pairs inside a component need no check.
 5. Components of all confirmed links give each document its group.
 
 Hubs' and copies' rows go through joins of written tables, whose skewed keys the
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import bounded_broadcast, connected_components, cut, mix64, shingle_hashes, small_batches, text_chunks, texts_of, word_hashes
+from lodestone.llm.common import bounded_broadcast, connected_components, cut, map_groups, mix64, scratch, shingle_hashes, small_batches, text_chunks, texts_of, word_hashes
 
 BANDS, ROWS, BITS = 24, 5, 512
 #: Members of a bucket that one comparison block holds, and ids that are broadcast at most.
@@ -128,61 +129,119 @@ def confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Data
     return both.select("a", "b", common.alias("i"), (F.size("sa") + F.size("sb") - common).alias("u")).filter(f"100 * i >= {percent} * u").select("a", "b")
 
 
-def across(members: DataFrame, most: int) -> DataFrame:
-    """Distinct pairs (a, b) of different components in a bucket whose sketches differ in at most ``most`` bits.
-
-    ``members``: key, doc_id, comp, odd, size (of the bucket).  Large buckets are cut into
-    blocks by a hash of the id, and each pair of blocks is one group of bounded size.
-    """
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+def dealt(members: DataFrame) -> DataFrame:
+    """Buckets' members in pairs of blocks (i, j): groups of bounded size that hold each pair of a bucket once."""
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    dealt = (
-        members.withColumn("blocks", blocks)
+    return (
+        members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "comp", "odd")
-        .repartition("key", "i", "j")
-        .sortWithinPartitions("key", "i", "j")
+        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "comp", "bands", "odd")
     )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
-            out = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "i", "j", "own", "doc_id", "comp")}
-            return out | {"odd": batch.column("odd").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(batch.num_rows, BITS // 64)}
-
-        def pairs_of(g: dict[str, np.ndarray]) -> np.ndarray:
-            left = np.flatnonzero(g["own"] == g["i"][0])
-            right = np.flatnonzero(g["own"] == g["j"][0])
-            found = []
-            for lo in range(0, len(left), 128):
-                part = left[lo : lo + 128]
-                bits = np.zeros((len(part), len(right)), np.uint16)
-                for w in range(BITS // 64):
-                    bits += np.bitwise_count(g["odd"][part, w][:, None] ^ g["odd"][right, w][None, :])
-                ok = (bits <= most) & (g["comp"][part][:, None] != g["comp"][right][None, :])
-                x, y = np.nonzero(ok)
-                found.append(np.stack([g["doc_id"][part[x]], g["doc_id"][right[y]]], 1))
-            p = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-            p.sort(axis=1)
-            return np.unique(p, axis=0)
-
-        held: dict[str, np.ndarray] | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = columns(batch)
-            held = now if held is None else {c: np.concatenate([held[c], now[c]]) for c in now}
-            edge = np.flatnonzero((held["key"][1:] != held["key"][:-1]) | (held["i"][1:] != held["i"][:-1]) | (held["j"][1:] != held["j"][:-1])) + 1
-            bounds = np.concatenate([[0], edge])
-            out = [pairs_of({c: v[lo:hi] for c, v in held.items()}) for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            held = {c: v[bounds[-1] :] for c, v in held.items()}
-            for p in filter(len, out):
-                yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
-        if held is not None and len(held["key"]):
-            p = pairs_of(held)
-            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
-
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+def likely(g: dict, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (rows of the group) across components whose sketches differ in at most ``most`` bits and whose first common band is this bucket."""
+    left, right = np.flatnonzero(g["own"] == g["i"][0]), np.flatnonzero(g["own"] == g["j"][0])
+    odd, bands = g["odd"][0].view(np.uint64).reshape(-1, BITS // 64), g["bands"][0].reshape(-1, BANDS)
+    same = g["i"][0] == g["j"][0]
+    xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for lo in range(0, len(left), 128):
+        part = left[lo : lo + 128]
+        bits = np.zeros((len(part), len(right)), np.uint16)
+        for w in range(BITS // 64):
+            bits += np.bitwise_count(odd[part, w][:, None] ^ odd[right, w][None, :])
+        x, y = np.nonzero((bits <= most) & (g["comp"][part][:, None] != g["comp"][right][None, :]))
+        x, y = part[x], right[y]
+        if same:
+            x, y = x[x < y], y[x < y]
+        for c in range(0, len(x), 65536):
+            u, v = x[c : c + 65536], y[c : c + 65536]
+            first = (bands[u] == bands[v]).argmax(1)
+            mine = bands[u, first] == g["key"][0]
+            xs.append(u[mine])
+            ys.append(v[mine])
+    return np.concatenate(xs), np.concatenate(ys)
+
+
+def flagged(members: DataFrame, most: int) -> DataFrame:
+    """(key, i, j, doc_id) of the members that have a likely pair in a group: rows grow with members, not with pairs."""
+
+    def run(g: dict) -> list | None:
+        x, y = likely(g, most)
+        at = np.unique(np.concatenate([x, y]))
+        return [pa.array(g[c][at]) for c in ("key", "i", "j", "doc_id")] if len(at) else None
+
+    return map_groups(dealt(members), ["key", "i", "j"], run, "key long, i int, j int, doc_id long")
+
+
+def confirmed(g: dict, most: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (ids) that join components of a group, confirmed on its members' full sets.
+
+    Intersections come from the group's own inverted lists; pairs that earlier links have
+    joined already need no check.
+    """
+    x, y = likely(g, most)
+    values, first = g["shingles"]
+    size = np.diff(first)
+    _, ids = np.unique(values, return_inverse=True)
+    owner = np.repeat(np.arange(len(size)), size)
+    order = np.argsort(ids, kind="stable")
+    posted = owner[order]
+    start = np.concatenate([[0], np.cumsum(np.bincount(ids))]).astype(np.int64)
+    roots = {c: c for c in g["comp"].tolist()}
+
+    def root(c: int) -> int:
+        while roots[c] != c:
+            roots[c] = roots[roots[c]]
+            c = roots[c]
+        return c
+
+    a, b = [], []
+    by = np.argsort(x, kind="stable")
+    x, y = x[by], y[by]
+    cuts = np.flatnonzero(np.diff(x)) + 1
+    comp = g["comp"]
+    for lo, hi in zip(np.concatenate([[0], cuts]).tolist(), np.concatenate([cuts, [len(x)]]).tolist(), strict=True) if len(x) else []:
+        u, others = int(x[lo]), y[lo:hi]
+        mine = root(int(comp[u]))
+        others = others[[root(int(c)) != mine for c in comp[others]]]
+        if not len(others):
+            continue
+        own = ids[first[u] : first[u + 1]]
+        n = start[own + 1] - start[own]
+        lists = posted[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[own], n)]
+        common = np.bincount(lists, minlength=len(size))[others]
+        for v in others[100 * common >= percent * (size[u] + size[others] - common)].tolist():
+            r, q = root(int(comp[u])), root(int(comp[v]))
+            if r != q:
+                roots[max(r, q)] = min(r, q)
+                a.append(g["doc_id"][u])
+                b.append(g["doc_id"][v])
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def across(texts: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
+    """Confirmed links (a, b) between different components that meet in a bucket.
+
+    ``members``: key, doc_id, comp, bands, odd, size (of the bucket).  Large buckets are cut
+    into blocks, and each pair of blocks is one group of bounded size.  A first pass over
+    sketches finds who has a likely partner where; only their sets are sent there.
+    """
+    most = reach(percent)
+    marks = cut(flagged(members, most))
+    ids = cut(marks.select("doc_id").distinct())
+    sets = cut(full_sets(texts.join(bounded_broadcast(ids, FEW_IDS), "doc_id", "left_semi"), width).dropDuplicates(["doc_id"]))
+    facts = cut(members.select("doc_id", "comp", "bands", "odd").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).join(sets, "doc_id"))
+    sizes = members.select("key", "size").distinct()
+    own = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / BLOCK).cast("int")).cast("int")
+    rows = marks.join(cut(sizes), "key").withColumn("own", own).drop("size").join(facts, "doc_id").select("key", "i", "j", "own", "doc_id", "comp", "bands", "odd", "shingles")
+
+    def run(g: dict) -> list | None:
+        a, b = confirmed(g, most, percent)
+        return [pa.array(a), pa.array(b)] if len(a) else None
+
+    return map_groups(rows, ["key", "i", "j"], run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -192,7 +251,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_colum
     ``width``-word shingles.
     """
     small_batches(docs.sparkSession)
-    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    with scratch(docs.sparkSession) as steps:
+        return steps.keep(_near_duplicates(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")), width, percent))
+
+
+def _near_duplicates(texts: DataFrame, width: int, percent: int) -> DataFrame:
     rows = cut(sketch(texts, width))
     known = rows.filter("n > 0 AND doc_id IS NOT NULL")
     classes = cut(known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
@@ -218,8 +281,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_colum
     placed = members.select("key", "doc_id", "size").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
     placed = cut(placed)
     open_ = cut(placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key"))
-    pairs = cut(across(placed.join(open_, "key").join(odd, "doc_id"), most))
-    more = confirm(texts, pairs, width, percent)
+    more = across(texts, cut(placed.join(open_, "key").join(reps, "doc_id")), width, percent)
     groups = cut(connected_components(links.unionByName(more)))
 
     named = rows.select("doc_id", "n", "k1", "k2").join(classes.filter("copies > 1").select("k1", "k2", "rep"), ["k1", "k2"], "left")
