@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -44,7 +45,14 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-_SCRATCH: list[list[str]] = []
+class _Scopes(threading.local):
+    """The open ``scratch`` blocks of a thread, innermost last."""
+
+    def __init__(self) -> None:
+        self.open: list[list[str]] = []
+
+
+_SCRATCH = _Scopes()
 
 
 class scratch:
@@ -58,20 +66,20 @@ class scratch:
         self.spark, self.collect = spark, collect
 
     def __enter__(self) -> scratch:
-        _SCRATCH.append([])
+        _SCRATCH.open.append([])
         return self
 
     def keep(self, df: DataFrame) -> DataFrame:
         """``df`` as a table that outlives the block (it belongs to the block around it)."""
-        mine = _SCRATCH.pop()
+        mine = _SCRATCH.open.pop()
         try:
             return cut(df)
         finally:
-            _SCRATCH.append(mine)
+            _SCRATCH.open.append(mine)
 
     def __exit__(self, *error: object) -> None:
         jvm, sc = self.spark._jvm, self.spark.sparkContext
-        for at in _SCRATCH.pop():
+        for at in _SCRATCH.open.pop():
             path = jvm.org.apache.hadoop.fs.Path(at)
             path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
         if self.collect:
@@ -83,8 +91,8 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    if _SCRATCH:
-        _SCRATCH[-1].append(at)
+    if _SCRATCH.open:
+        _SCRATCH.open[-1].append(at)
     df.write.option("compression", "zstd").parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 

@@ -19,10 +19,10 @@
 Passages of a text are reported against smaller ids only, so the first text that has a
 passage keeps it.
 
-Defined results: null, empty and short texts have no passage; rows that share an id
-are one document, of which the first text by hash is read; null ids are left out; an
-empty table gives no rows; other columns are ignored by ``passages`` and carried by
-``remove``.
+Defined results: null, empty and short texts have no passage; repeated equal rows give
+one report (ids are expected to be unique: differing rows that share one are compared
+each and reported under it); null ids are left out; an empty table gives no rows; other
+columns are ignored by ``passages`` and carried by ``remove``.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import bounded_broadcast, cut, mix64, shingle_hashes, small_batches, text_chunks, texts_of, word_hashes
+from lodestone.llm.common import bounded_broadcast, cut, mix64, scratch, shingle_hashes, small_batches, text_chunks, texts_of, word_hashes
 
 WIDTH, HASHES, AGREE = 5, 4, 2
 #: Words of the shortest passage, and times that a value may come in one batch before it is linked there.
@@ -247,6 +247,11 @@ def passages(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     """
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text")).filter("doc_id IS NOT NULL")
+    with scratch(docs.sparkSession) as steps:
+        return steps.keep(_passages(texts, least, percent))
+
+
+def _passages(texts: DataFrame, least: int, percent: int) -> DataFrame:
     words = F.size(F.split(F.col("text"), r"[\x20\x09-\x0D]+"))  # one more at most for white space at either end
     keyed = texts.select("doc_id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"), (F.length("text") >= 2 * least - 1).alias("long"))
     classes = keyed.filter("long").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
@@ -256,7 +261,8 @@ def passages(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
         rest = texts
     else:
         rest = texts.join(bounded_broadcast(copies.select("doc_id"), FEW_IDS), "doc_id", "left_anti")
-    found = cut(regions(windows(rest, least)))
+    with scratch(texts.sparkSession) as step:
+        found = step.keep(regions(windows(rest, least)))
     near = verify(rest, found, least, percent)
     whole = texts.select("doc_id", words.cast("long").alias("n"), (F.col("text").rlike(r"^[\x20\x09-\x0D]").cast("int") + F.col("text").rlike(r"[\x20\x09-\x0D]\z").cast("int")).alias("ends"))
     whole = whole.join(bounded_broadcast(copies, FEW_IDS), "doc_id").withColumn("n", F.col("n") - F.col("ends")).filter(F.col("n") >= least)
