@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import minhash_dedup, packing, secret_scan, substring_dedup, suffix_quality
-from lodestone.llm.common import bounded_broadcast, cut
+from lodestone.llm.common import bounded_broadcast, cut, scratch
 from lodestone.llm.queries import tokenizer_path
 
 #: Ids that are broadcast at most, behind a count.
@@ -56,7 +56,8 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir))
+        with scratch(spark) as steps:
+            docs = steps.keep(stage(spark, docs, sf_dir))
     return docs
 
 
