@@ -336,3 +336,33 @@ def payload_chunks(spark, t):
 def noise_filter(spark, t):
     lines = F.filter(F.split("text", "\n"), lambda x: ~predicates.any_(lambda p: F.startswith(x, F.lit(p)), ["Licensed", "Copyright"]))
     return t("documents").select("doc_id", F.size(lines).cast("long").alias("kept")).filter("kept > 0")
+
+
+#: A listing with root files, configuration, CI files and test directories; directories of documents' ids around them.
+LISTING = ["README.md", ".eslintrc.json", "tsconfig.json", "tsconfig.base.json", "pyproject.toml", "Makefile", ".github/workflows/ci.yml", ".gitlab-ci.yml", "tests/a.py", "App.Tests/b.cs", "my.SPEC/c.js", "src/tests/d.py", "sub/tsconfig.json"]
+
+
+def _listing(spark):
+    return spark.createDataFrame([(p,) for p in LISTING], "path string")
+
+
+@query("SELECT * FROM (VALUES ('README.md'), ('tsconfig.json'), ('tsconfig.base.json'), ('pyproject.toml'), ('Makefile')) AS r(path)")
+def root_files(spark, t):
+    return scans.root_files(_listing(spark))
+
+
+@query("SELECT * FROM (VALUES ('config', '.eslintrc.json'), ('config', 'tsconfig.json'), ('config', 'tsconfig.base.json'), ('config', 'pyproject.toml'), ('ci', '.github/workflows/ci.yml'), ('ci', '.gitlab-ci.yml')) AS r(what, path)")
+def config_and_ci_files(spark, t):
+    files = _listing(spark)
+    found = lambda what, xs: scans.listed(files, xs).select(F.lit(what).alias("what"), "path")
+    return found("config", scans.CONFIG_FILES).unionByName(found("ci", scans.CI_FILES))
+
+
+@query("SELECT * FROM (VALUES ('tests/'), ('App.Tests/'), ('my.SPEC/')) AS r(path)")
+def test_directories(spark, t):
+    return scans.test_directories(_listing(spark)).select("path")
+
+
+@query("SELECT doc_id, n_chars FROM documents WHERE n_chars <= 5000")
+def size_filter(spark, t):
+    return t("documents").filter("n_chars <= 5000").select("doc_id", "n_chars")

@@ -231,3 +231,59 @@ def routes(spark, t):
 @query("SELECT * FROM (VALUES ('IRepo', 'Users, Orders, Repo')) AS m(interface, implementors)")
 def interface_map(spark, t):
     return links.interface_map(parse.parse(_sources(spark))).withColumn("implementors", F.array_join("implementors", ", "))
+
+
+@query(
+    """SELECT * FROM (VALUES ('a/api.py', 'Repo', 'class', 'class Repo(Base)', 'Base', NULL, 'def find(self, n: int) -> dict', NULL), ('a/api.py', 'add', 'function', 'def add(x)', NULL, NULL, NULL, 'router.post(''/items'')'),
+('b/svc.go', 'IRepo', 'interface', 'type IRepo interface {' || chr(10) || chr(9) || 'Find(id int) error' || chr(10) || '}', NULL, NULL, 'Find(id int) error', NULL), ('b/svc.go', 'Repo', 'struct', 'type Repo struct {' || chr(10) || chr(9) || 'ID int `json:"id"`' || chr(10) || '}', NULL, NULL, 'func (r *Repo) Find(id int)', 'tags:json'),
+('b/svc.go', 'Health', 'function', 'func Health(w http.ResponseWriter, r *http.Request)', NULL, NULL, NULL, NULL),
+('c/ctl.ts', 'Users', 'class', 'class Users', 'IRepo', NULL, 'one(id: string): User', 'Controller(''/users/'')'), ('c/ctl.ts', 'f', 'function', 'const f = ...', NULL, NULL, NULL, NULL),
+('d/Ctl.cs', 'Orders', 'class', 'public class Orders : IRepo', 'IRepo', 'IRepo', 'public Order Get(int id)', 'ApiController; Route("api/orders")')) AS f(file, name, kind, signature, implements, deps, methods, decorators)"""
+)
+def format_files(spark, t):
+    from lodestone.config import PROFILES
+
+    rows = symbols.format_files(parse.parse(_sources(spark)), PROFILES["medium"]).select("file", F.explode("symbols").alias("s"))
+    shown = lambda c: F.nullif(F.array_join(f"s.{c}", "; "), F.lit(""))
+    return rows.select("file", "s.name", "s.kind", "s.signature", shown("implements").alias("implements"), shown("constructor_deps").alias("deps"), shown("methods").alias("methods"), shown("decorators").alias("decorators"))
+
+
+@query(
+    """SELECT * FROM (VALUES ('a/api.py', 'python', 'high', 'add', 'Gone', 'find'), ('d/Ctl.cs', 'c_sharp', 'medium', NULL, NULL, 'Get; Orders')) AS d(file, language, impact, added, removed, modified)"""
+)
+def diff_entries(spark, t):
+    changed = spark.createDataFrame([(p, "modified", "x", "y") for p, _, _ in SOURCES], "path string, status string, old_hash string, new_hash string")
+    then = [
+        ("a/api.py", "x", [("Repo", "class", "public", "class Repo(Base)", []), ("find", "method", "public", "def find(self)", []), ("Gone", "class", "public", "class Gone", [])]),
+        ("d/Ctl.cs", "x", [("Orders", "class", "public", "public class Orders", []), ("Get", "method", "public", "public Order Get()", ["HttpGet"])]),
+    ]
+    from lodestone.model import SNAPSHOT
+
+    out = symbols.diff_entries(changed, parse.parse(_sources(spark)), spark.createDataFrame(then, SNAPSHOT), "medium")
+    named = lambda c: F.nullif(F.array_join(F.array_sort(F.transform(f"{c}_symbols", lambda s: s["name"])), "; "), F.lit("")).alias(c)
+    return out.select("file", "language", "impact", *map(named, ("added", "removed", "modified")))
+
+
+@query(
+    """SELECT * FROM (VALUES (1, 'a/api.py', NULL, 'GET /items/{n} find; POST /items add', NULL), (2, 'b/svc.go', NULL, NULL, 'Health'), (3, 'c/ctl.ts', 'Users', 'GET users/:id one; POST users add', NULL),
+(4, 'd/Ctl.cs', 'Orders', 'GET api/orders/{id} Get', NULL)) AS w(position, file, class, routes, handlers)"""
+)
+def wiring_map(spark, t):
+    from lodestone.config import PROFILES
+
+    w = wiring.wiring(parse.parse(_sources(spark)), PROFILES["medium"])
+    routes_ = F.array_join(F.transform("routes", lambda r: F.concat_ws(" ", r["method"], r["path"], r["handler"])), "; ")
+    return w.select("position", "file", "class", routes_.alias("routes"), F.array_join(F.transform("handlers", lambda h: h["handler"]), "; ").alias("handlers"))
+
+
+@query(
+    """SELECT * FROM (VALUES ('a/api.py', 'Repo', 'class', 'public'), ('a/api.py', 'find', 'method', 'public'), ('a/api.py', 'add', 'function', 'public'), ('b/svc.go', 'IRepo', 'interface', 'public'), ('b/svc.go', 'Find', 'method', 'public'),
+('b/svc.go', 'Repo', 'struct', 'public'), ('b/svc.go', 'Find', 'method', 'public'), ('b/svc.go', 'Health', 'function', 'public'), ('c/ctl.ts', 'Users', 'class', 'public'), ('c/ctl.ts', 'one', 'method', 'public'), ('c/ctl.ts', 'f', 'function', 'public'),
+('d/Ctl.cs', 'Orders', 'class', 'public'), ('d/Ctl.cs', 'Orders', 'constructor', 'public'), ('d/Ctl.cs', 'Get', 'method', 'public')) AS s(path, name, kind, visibility)"""
+)
+def snapshot_rows(spark, t):
+    from lodestone.operators import changes
+
+    sources = _sources(spark)
+    rows = changes.snapshot_rows(sources.withColumn("hash", scalars.content_hash("content")), parse.parse(sources))
+    return rows.select("path", F.explode("symbols").alias("s")).select("path", "s.name", "s.kind", "s.visibility")
