@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import small_batches, text_chunks
+from lodestone.llm.common import claim, small_batches, text_chunks
 
 NONE = np.int64(1) << 40
 LONG = 256
@@ -198,6 +198,7 @@ _LOADED: dict[tuple, Vocabulary] = {}
 def vocabulary(path: str, pattern: str) -> Vocabulary:
     if (path, pattern) not in _LOADED:
         _LOADED[path, pattern] = Vocabulary(path, pattern)
+    claim("byte_bpe", _LOADED.clear)
     return _LOADED[path, pattern]
 
 

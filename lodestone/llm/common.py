@@ -11,7 +11,7 @@ import gc
 import tempfile
 import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -126,6 +126,16 @@ def texts_of(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+_CACHES: dict[str, Callable[[], None]] = {}
+
+
+def claim(owner: str, clear: Callable[[], None]) -> None:
+    """Called by a Python stage that keeps a cache in its worker: other stages' caches go, so that a worker holds one at most."""
+    for other in [o for o in _CACHES if o != owner]:
+        _CACHES.pop(other)()
+    _CACHES[owner] = clear
+
+
 class WordHash(dict):
     """word -> stable 64-bit hash (xxh3 where present); bounded by ``trim``."""
 
@@ -156,6 +166,7 @@ def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np
     """
     if not _WORD_HASH:
         _WORD_HASH.append(WordHash())
+    claim("words", _WORD_HASH.clear)
     known = _WORD_HASH[0]
     known.trim()
     starts, parts = [0], []

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import small_batches, text_chunks, texts_of
+from lodestone.llm.common import claim, small_batches, text_chunks, texts_of
 
 CAPACITY, END_ID = 2048, 1
 GROUP_TOKENS = 4 << 20
@@ -116,6 +116,7 @@ def _pack_partition(batches: Iterator[pa.RecordBatch], path: str, capacity: int,
     if path not in _KNOWN:
         _KNOWN[path] = ChunkIds(path)
     known = _KNOWN[path]
+    claim("packing", _KNOWN.clear)
     base = TaskContext.get().partitionId() << 32
     used, held = 0, 0
     end = np.array([end_id], "<u4").tobytes()

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import small_batches, text_chunks, texts_of
+from lodestone.llm.common import claim, small_batches, text_chunks, texts_of
 
 #: A repeat counts from this many words on.
 MIN_WORDS = 10
@@ -167,6 +167,7 @@ def repeats(words: np.ndarray, starts: np.ndarray, least: int = MIN_WORDS) -> tu
 
 def counts_of(texts: list[bytes], least: int) -> list[np.ndarray]:
     """The columns of COUNTS for the texts."""
+    claim("quality", int)  # keeps nothing itself
     split = [t.split() for t in texts]
     starts = np.concatenate([[0], np.cumsum([len(s) for s in split])]).astype(np.int64)
     flat = np.empty(starts[-1], object)

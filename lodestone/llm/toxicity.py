@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import small_batches, text_chunks, texts_of
+from lodestone.llm.common import claim, small_batches, text_chunks, texts_of
 
 #: Bound of the training sample, by class.
 MAX_TRAIN = 2000
@@ -190,6 +190,7 @@ def margin_of(key: int, shipped: Broadcast) -> WordMargin:
     if key not in _MARGINS:
         _MARGINS.clear()
         _MARGINS[key] = WordMargin(shipped.value)
+    claim("toxicity", _MARGINS.clear)
     return _MARGINS[key]
 
 
