@@ -107,9 +107,6 @@ def test_summary(df: DataFrame, directory: str, file: str, n_symbols: str, langu
     )
 
 
-SUMMARY = "directory, kind, file_count, language, common_methods, naming_pattern, outliers, sample_files, note, remaining_files"
-
-
 def collapse(entries: DataFrame, profile: SizeProfile, threshold: int | None = None) -> DataFrame:
     """Entries of files (see ``symbols.format_files``) with alike directories collapsed.
 

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.functions.paths import basename, dirname
 from lodestone.functions.scalars import decoded, dependency_name, strip
 from lodestone.model import S, TEXTS, struct
 
@@ -174,7 +173,3 @@ def remaining_packages(df: DataFrame, common: DataFrame, package: str) -> DataFr
 
 def text_of(files: DataFrame) -> DataFrame:
     return files.withColumn("content", decoded("content"))
-
-
-def root_of(path: str = "path") -> Column:
-    return F.when(dirname(path) == ".", basename(path))

@@ -21,11 +21,3 @@ def registry(df: DataFrame, signature: str, order: str, least: int = LEAST) -> D
 def rewrite(df: DataFrame, known: DataFrame, signature: str) -> DataFrame:
     """``df`` with each signature replaced by its key, where it has one."""
     return df.join(known.select(signature, F.col("key").alias("__key")), signature, "left").withColumn(signature, F.coalesce("__key", signature)).drop("__key")
-
-
-def rewrite_lists(df: DataFrame, known: dict[str, str], methods: str) -> DataFrame:
-    """``df`` with the signatures in an array column replaced, from a registry that was collected for the payload."""
-    if not known:
-        return df
-    lookup = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
-    return df.withColumn(methods, F.transform(methods, lambda m: F.coalesce(F.try_element_at(lookup, m), m)))

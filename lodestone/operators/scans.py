@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import scalars as S
 from lodestone.functions.globs import any_of
-from lodestone.functions.paths import basename, dirname, stem
+from lodestone.functions.paths import dirname, stem
 from lodestone.functions.predicates import ENTRY_STEMS, entry_role, is_test
 
 MOST_ROOT_FILES = 30
@@ -70,7 +70,3 @@ def first_seen(df: DataFrame, key: str, order: str) -> DataFrame:
     """One row a key: the first by ``order``."""
     w = Window.partitionBy(key).orderBy(order)
     return df.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
-
-
-def name_of(path: str = "path"):
-    return basename(path)

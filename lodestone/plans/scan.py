@@ -19,7 +19,7 @@ def _existing(spark: SparkSession, root: Path, old: DataFrame) -> DataFrame:
     return old.join(listing, "path", "left")
 
 
-def scan(spark: SparkSession, project: str = ".", force_full: bool = True, with_context: bool = False, base: str | Path | None = None, reparse: bool = True) -> dict:
+def scan(spark: SparkSession, project: str = ".", force_full: bool = True, with_context: bool = False, base: str | Path | None = None) -> dict:
     """Scan a project, write its payload and its next snapshot; returns status and number of pages.
 
     With ``force_full`` the last snapshot is ignored.  Only new and modified files are parsed.

@@ -185,7 +185,7 @@ def token_extract(spark, t):
 
 @query(
     """SELECT DISTINCT CASE doc_id % 4 WHEN 0 THEN 'KEY_' WHEN 1 THEN 'DB_' WHEN 2 THEN 'PORT_' ELSE 'HOME_' END || CAST(doc_id % 17 AS VARCHAR) AS name FROM documents
-UNION SELECT DISTINCT 'SET_' || CAST(doc_id % 5 AS VARCHAR) FROM documents WHERE doc_id % 4 = 0"""
+UNION SELECT DISTINCT 'SET_' || CAST(doc_id % 5 AS VARCHAR) FROM documents"""
 )
 def env_vars(spark, t):
     n, d = F.col("doc_id") % 17, t("documents")
@@ -198,7 +198,7 @@ def env_vars(spark, t):
     )
     language = F.when(kind < 2, "python").when(kind == 2, "typescript").otherwise("go")
     sources = d.select(F.concat(F.lit("a"), "doc_id").alias("path"), language.alias("language"), text.cast("binary").alias("content"))
-    dotenv = d.filter("doc_id % 4 = 0").select(F.lit(".env.example").alias("path"), F.lit(None).cast("string").alias("language"), F.concat(F.lit("# SET=1\n SET_"), F.col("doc_id") % 5, F.lit(" = 1\nlower=2")).cast("binary").alias("content"))
+    dotenv = d.select(F.lit(".env.example").alias("path"), F.lit(None).cast("string").alias("language"), F.concat(F.lit("# SET=1\n SET_"), F.col("doc_id") % 5, F.lit(" = 1\nlower=2")).cast("binary").alias("content"))
     return scans.env_vars(sources.unionByName(dotenv))
 
 

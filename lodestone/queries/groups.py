@@ -12,14 +12,20 @@ from lodestone.plans import connectors
 from lodestone.queries import query
 
 _COMMON = """
-pairs AS (SELECT DISTINCT user_id % 10 AS dir, user_id AS file, event_type AS method FROM events WHERE value > 150),
+ev AS (SELECT event_id, user_id % 10 AS dir, user_id AS file, event_type || '_' || CAST(CAST(floor(value / 40) AS INTEGER) AS VARCHAR) AS method FROM events),
+pairs AS (SELECT DISTINCT dir, file, method FROM ev),
 sizes AS (SELECT dir, count(DISTINCT file) AS n FROM pairs GROUP BY dir),
 common AS (SELECT dir, method, count(*) AS n_items FROM pairs JOIN sizes USING (dir) GROUP BY dir, method, n HAVING count(*) >= 0.6::DOUBLE * n)
 """
 
 
+def _method():
+    """An event's type and its value's band: some are common to most users, others rare."""
+    return F.concat("event_type", F.lit("_"), F.floor(F.col("value") / 40).cast("int"))
+
+
 def _methods(t):
-    return t("events").filter("value > 150").select((F.col("user_id") % 10).alias("dir"), F.col("user_id").alias("file"), F.col("event_type").alias("method"), "event_id")
+    return t("events").select((F.col("user_id") % 10).alias("dir"), F.col("user_id").alias("file"), _method().alias("method"), "event_id")
 
 
 @query(f"WITH {_COMMON} SELECT dir, method, n_items FROM common")
@@ -39,7 +45,7 @@ def method_coverage(spark, t):
 
 
 @query(
-    f"""WITH {_COMMON}, rest AS (SELECT user_id % 10 AS dir, user_id AS file, event_type AS method, event_id FROM events WHERE value > 150 AND (user_id % 10, event_type) NOT IN (SELECT (dir, method) FROM common)),
+    f"""WITH {_COMMON}, rest AS (SELECT ev.* FROM ev LEFT JOIN common c ON ev.dir = c.dir AND ev.method = c.method WHERE c.dir IS NULL),
 n AS (SELECT *, row_number() OVER (PARTITION BY dir, file ORDER BY event_id) AS rn FROM rest), f AS (SELECT dir, file, string_agg(method, ', ' ORDER BY event_id) AS members FROM n WHERE rn <= 5 GROUP BY dir, file),
 k AS (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY file) AS fn FROM f)
 SELECT dir, file, members FROM k WHERE fn <= 5"""
@@ -118,12 +124,12 @@ def test_summary(spark, t):
 
 
 @query(
-    """WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS nth, count(*) OVER (PARTITION BY user_id) AS total FROM events WHERE user_id % 3 = 0),
+    """WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS nth, count(*) OVER (PARTITION BY user_id) AS total FROM events),
 p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN total > 8 AND nth > 1 THEN 1 ELSE 0 END, event_id) AS pick FROM e)
 SELECT user_id, event_type, event_id, CAST(pick AS INTEGER) AS pick, total FROM p WHERE pick <= 8"""
 )
 def cap_routes(spark, t):
-    return wiring.cap_routes(t("events").filter("user_id % 3 = 0").select("user_id", "event_type", "event_id"), "user_id", "event_type", "event_id", 8)
+    return wiring.cap_routes(t("events").select("user_id", "event_type", "event_id"), "user_id", "event_type", "event_id", 8)
 
 
 @query("WITH e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn, count(*) OVER (PARTITION BY user_id) AS total FROM events) SELECT user_id, event_id, total FROM e WHERE rn <= 5")
@@ -170,7 +176,7 @@ def size_profiles(spark, t):
 
 #: Entries of files: directories are sources, methods are event types, languages are documents'.
 _COLLAPSE = """
-WITH m AS (SELECT DISTINCT user_id AS d, event_type AS method FROM events WHERE value > 150 AND user_id < 1000),
+WITH m AS (SELECT DISTINCT user_id AS d, event_type || '_' || CAST(CAST(floor(value / 40) AS INTEGER) AS VARCHAR) AS method FROM events),
 e AS (SELECT source, lang, doc_id, source || '/f' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS file FROM documents WHERE lang IS NOT NULL),
 c AS (SELECT source, lang, count(*) AS n, min(file) AS f FROM e GROUP BY source, lang), lead AS (SELECT source, arg_min(lang, (-n, f)) AS lang, max(n) AS n FROM c GROUP BY source),
 mm AS (SELECT e.source, e.file, m.method FROM e JOIN lead l ON e.source = l.source AND e.lang = l.lang AND l.n >= 20 JOIN m ON m.d = e.doc_id),
@@ -189,7 +195,7 @@ UNION ALL SELECT NULL, l.source || '/', 'directory_summary', CAST(l.n AS INTEGER
   FROM lead l LEFT JOIN cn ON l.source = cn.source LEFT JOIN nm ON l.source = nm.source WHERE l.n >= 20"""
 )
 def dir_collapse(spark, t):
-    methods = t("events").filter("value > 150 AND user_id < 1000").select(F.col("user_id").alias("doc_id"), "event_type").distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list("event_type")).alias("methods"))
+    methods = t("events").select(F.col("user_id").alias("doc_id"), _method().alias("method")).distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list("method")).alias("methods"))
     d = t("documents").filter("lang IS NOT NULL").select("doc_id", "source", "lang").join(methods, "doc_id", "left")
     none = F.array().cast("array<string>")
     symbol = F.struct(
