@@ -212,32 +212,31 @@ PASSAGE_SCHEMA = "doc_id long, start long, n_words long, src_doc_id long, src_st
 
 
 def verify(docs: DataFrame, found: DataFrame, least: int, percent: int) -> DataFrame:
-    """Passages of the regions that hold on the full texts."""
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_chunks(batches, "text"):
-            values, first = _shingles(texts_of(batch, "text"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values.view(np.int64)))], ["doc_id", "shingles"])
+    """Passages of the regions that hold on the full texts.
 
+    Texts travel as they are, which compresses to less than their hashes would take.
+    """
     ids = cut(found.select(F.explode(F.array("doc_id", "src")).alias("doc_id")).distinct())
-    texts = cut(docs.join(bounded_broadcast(ids, FEW_IDS), "doc_id", "left_semi").mapInArrow(hashed, "doc_id long, shingles array<long>"))
-    part = lambda lo, hi: F.slice("shingles", (F.col(lo) + 1).cast("int"), (F.col(hi) - F.col(lo) + 1).cast("int"))
-    mine = found.join(texts, "doc_id").select("doc_id", "src", "lo", "src_lo", "src_hi", part("lo", "hi").alias("a"))
-    both = mine.join(texts.withColumnRenamed("doc_id", "src"), "src").select("doc_id", "src", "lo", "src_lo", "a", part("src_lo", "src_hi").alias("b"))
+    texts = docs.join(bounded_broadcast(ids, FEW_IDS), "doc_id", "left_semi")
+    mine = found.join(texts.withColumnRenamed("text", "a"), "doc_id")
+    both = mine.join(texts.select(F.col("doc_id").alias("src"), F.col("text").alias("b")), "src")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc, src, lo, src_lo = (batch.column(c).to_pylist() for c in ("doc_id", "src", "lo", "src_lo"))
-            a, b = batch.column("a"), batch.column("b")
+        for batch in text_chunks(text_chunks(batches, "a"), "b"):
+            columns = [batch.column(c).to_pylist() for c in ("doc_id", "src", "lo", "hi", "src_lo", "src_hi")]
+            pairs = [texts_of(batch, c) for c in ("a", "b")]
+            place = {t: i for i, t in enumerate(dict.fromkeys([*pairs[0], *pairs[1]]))}
+            hashes, first = _shingles(list(place))
+            own = lambda t: hashes[first[place[t]] : first[place[t] + 1]]
             rows = []
-            for k in range(batch.num_rows):
-                for s, n, t, m, j in chains(*(c[k].values.to_numpy(zero_copy_only=False) for c in (a, b)), least - WIDTH + 1, percent):
-                    rows.append((doc[k], lo[k] + s, n + WIDTH - 1, src[k], src_lo[k] + t, m + WIDTH - 1, j))
+            for doc, src, lo, hi, src_lo, src_hi, ta, tb in zip(*columns, *pairs, strict=True):
+                for s, n, t, m, j in chains(own(ta)[lo : hi + 1], own(tb)[src_lo : src_hi + 1], least - WIDTH + 1, percent):
+                    rows.append((doc, lo + s, n + WIDTH - 1, src, src_lo + t, m + WIDTH - 1, j))
             if rows:
                 types = [pa.int64()] * 6 + [pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [f.split()[0] for f in PASSAGE_SCHEMA.split(", ")])
 
-    return both.mapInArrow(check, PASSAGE_SCHEMA)
+    return both.select("doc_id", "src", "lo", "hi", "src_lo", "src_hi", "a", "b").mapInArrow(check, PASSAGE_SCHEMA)
 
 
 def passages(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: int = LEAST, percent: int = 80) -> DataFrame:
