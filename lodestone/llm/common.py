@@ -133,6 +133,7 @@ def claim(owner: str, clear: Callable[[], None]) -> None:
     """Called by a Python stage that keeps a cache in its worker: other stages' caches go, so that a worker holds one at most."""
     for other in [o for o in _CACHES if o != owner]:
         _CACHES.pop(other)()
+        pa.default_memory_pool().release_unused()
     _CACHES[owner] = clear
 
 

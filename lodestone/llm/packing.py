@@ -44,7 +44,7 @@ class ChunkIds(dict):
     token crosses white space and a text's ids are its chunks' ids in a row.
     """
 
-    LIMIT = 1_000_000
+    LIMIT = 600_000
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
