@@ -8,9 +8,7 @@
    a stack over them alone their bounds, so a text of n tokens gives about
    2 n / least windows a function.
 3. Windows that share a minimum meet in one group.  Each is linked to the group's first
-   text and to the one before it, so a group's links grow with its members.  A value
-   that is frequent already within one batch is linked there and sends on its first text
-   alone, which keeps frequent lines from gathering anywhere.
+   text and to the one before it, so a group's links grow with its members.
 4. Of each pair of texts, windows that overlap are joined into regions; a region that
    ``AGREE`` functions share is verified: shared shingles are chained into passages, and
    a passage counts where the Jaccard similarity of both sides' shingle sets is at
@@ -32,15 +30,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import bounded_broadcast, cut, mix64, scratch, shingle_hashes, small_batches, text_chunks, texts_of, word_hashes
 
 WIDTH, HASHES, AGREE = 5, 4, 2
-#: Words of the shortest passage, and times that a value may come in one batch before it is linked there.
-LEAST, LOCAL = 50, 8
+#: Words of the shortest passage.
+LEAST = 50
 #: Shingles that a chain may jump over, and ids that are broadcast at most.
 GAP, FEW_IDS = 15, 1_000_000
 
@@ -100,11 +97,11 @@ def _shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return shingle_hashes(words, starts, WIDTH, short=False)
 
 
-WINDOW_SCHEMA = "key long, doc_id long, at long, to long, src long, src_at long, src_to long"
+WINDOW_SCHEMA = "key long, doc_id long, at long, to long"
 
 
 def windows(docs: DataFrame, least: int) -> DataFrame:
-    """Compact windows of each text: key, doc_id, at = left << 32 | centre, to = right << 8 | function; and links found within a batch (src and its bounds)."""
+    """Compact windows of each text: key, doc_id, at = left << 32 | centre, to = right << 8 | function."""
     tokens = least - WIDTH + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,19 +113,9 @@ def windows(docs: DataFrame, least: int) -> DataFrame:
                 values = mix64(hashes ^ seed)
                 text, left, centre, right = compact_windows(values, first, tokens)
                 parts.append((values[first[text] + centre].view(np.int64), ids[text], left << 32 | centre, right << 8 | f))
-            key, doc, at, to = (np.concatenate(c) for c in zip(*parts, strict=True))
-            if not len(key):
-                continue
-            order = np.lexsort((at & 0xFFFFFFFF, doc, key))
-            key, doc, at, to = key[order], doc[order], at[order], to[order]
-            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            size = np.diff(np.concatenate([start, [len(key)]]))
-            hub = np.repeat(start, size)
-            here = (np.repeat(size, size) > LOCAL) & (doc != doc[hub])
-            key = np.where(here, mix64(mix64(doc.view(np.uint64)) ^ mix64(at.view(np.uint64)) ^ to.view(np.uint64)).view(np.int64), key)
-            no = pa.array(~here)
-            link = [pc.if_else(no, pa.scalar(None, pa.int64()), pa.array(c[hub])) for c in (doc, at, to)]
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(at), pa.array(to), *link], [f.split()[0] for f in WINDOW_SCHEMA.split(", ")])
+            columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+            if len(columns[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [f.split()[0] for f in WINDOW_SCHEMA.split(", ")])
 
     return docs.mapInArrow(run, WINDOW_SCHEMA)
 
@@ -138,9 +125,7 @@ def regions(found: DataFrame) -> DataFrame:
     by = Window.partitionBy("key").orderBy("doc_id", "at")
     side = F.struct(F.col("doc_id").alias("src"), F.col("at").alias("src_at"), F.col("to").alias("src_to"))
     near = found.withColumn("hub", F.first(side).over(by)).withColumn("prev", F.lag(side).over(by))
-    links = F.when(F.col("src").isNotNull(), F.array(F.struct("src", "src_at", "src_to"))).otherwise(
-        F.filter(F.array_distinct(F.array("hub", "prev")), lambda s: s["src"].isNotNull() & (s["src"] != F.col("doc_id")))
-    )
+    links = F.filter(F.array_distinct(F.array("hub", "prev")), lambda s: s["src"].isNotNull() & (s["src"] != F.col("doc_id")))
     pairs = near.select("doc_id", "at", "to", F.explode(links).alias("s")).select(
         "doc_id",
         F.col("s.src").alias("src"),

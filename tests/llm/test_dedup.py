@@ -225,6 +225,15 @@ def test_passages(spark, frame):
     assert substring_dedup.passages(frame([])).count() == 0 and substring_dedup.passages(frame([(1, "short"), (2, "short")])).count() == 0
 
 
+def test_windows_do_not_depend_on_batches(frame):
+    r = random.Random(7)
+    fill = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    line = fill(20)
+    rows = [(k, f"{fill(40)} {line} {fill(40)}") for k in range(40)]
+    made = lambda n: {tuple(x) for x in substring_dedup.windows(frame(rows).repartition(n).select("doc_id", "text"), 50).select("key", "doc_id", "at", "to").collect()}
+    assert made(1) == made(40)
+
+
 def test_remove_spans():
     text = b" a b\nc  d e "
     assert substring_dedup.remove_spans(text, [(1, 2)]) == b" a d e "
