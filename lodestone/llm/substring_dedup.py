@@ -13,9 +13,17 @@
    ``AGREE`` functions share is verified: shared shingles are chained into passages, and
    a passage counts where the Jaccard similarity of both sides' shingle sets is at
    least ``percent`` hundredths.
+5. Groups of more than three windows hold pairs that were not linked.  A window there is
+   open while its context, the shingles that a shortest passage around its centre can
+   reach, is not covered by passages found.  Windows of equal contexts are stood for by
+   their first text; the others' contexts are sent to pairs of blocks of bounded size,
+   where open windows are compared with all windows of smaller ids and their partners
+   verified on the contexts.  A window keeps the partners that cover more of it, so
+   links don't grow with pairs; they go through step 4 with one function being enough.
 
 Passages of a text are reported against smaller ids only, so the first text that has a
-passage keeps it.
+passage keeps it.  Not all texts that share a passage are named, but each of its parts is
+reported against one of them at least.
 
 Defined results: null, empty and short texts have no passage; repeated equal rows give
 one report (ids are expected to be unique: differing rows that share one are compared
@@ -33,11 +41,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import bounded_broadcast, cut, mix64, scratch, shingle_hashes, small_batches, text_chunks, texts_of, word_hashes
+from lodestone.llm.common import bounded_broadcast, cut, map_groups, mix64, scratch, shingle_hashes, small_batches, text_chunks, texts_of, word_hashes
 
 WIDTH, HASHES, AGREE = 5, 4, 2
 #: Words of the shortest passage.
 LEAST = 50
+#: Windows that a block of a group holds, and counters that a context is folded into before it is compared exactly.
+BLOCK, FOLD = 2048, 1024
 #: Shingles that a chain may jump over, and ids that are broadcast at most.
 GAP, FEW_IDS = 15, 1_000_000
 
@@ -120,13 +130,23 @@ def windows(docs: DataFrame, least: int) -> DataFrame:
     return docs.mapInArrow(run, WINDOW_SCHEMA)
 
 
-def regions(found: DataFrame) -> DataFrame:
-    """doc_id, src, lo, hi, src_lo, src_hi: regions of two texts where windows of several functions overlap."""
-    by = Window.partitionBy("key").orderBy("doc_id", "at")
+def met(found: DataFrame) -> DataFrame:
+    """The windows that share their key, with the first of its group, the one before and the group's size."""
+    group = Window.partitionBy("key")
+    by = group.orderBy("doc_id", "at")
     side = F.struct(F.col("doc_id").alias("src"), F.col("at").alias("src_at"), F.col("to").alias("src_to"))
-    near = found.withColumn("hub", F.first(side).over(by)).withColumn("prev", F.lag(side).over(by))
+    return found.withColumn("hub", F.first(side).over(by)).withColumn("prev", F.lag(side).over(by)).withColumn("size", F.count("*").over(group)).filter("size > 1")
+
+
+def near_links(near: DataFrame) -> DataFrame:
+    """(doc_id, at, to, s) of each window with the first of its group and the one before."""
     links = F.filter(F.array_distinct(F.array("hub", "prev")), lambda s: s["src"].isNotNull() & (s["src"] != F.col("doc_id")))
-    pairs = near.select("doc_id", "at", "to", F.explode(links).alias("s")).select(
+    return near.select("doc_id", "at", "to", F.explode(links).alias("s"))
+
+
+def regions(links: DataFrame, agree: int = AGREE) -> DataFrame:
+    """doc_id, src, lo, hi, src_lo, src_hi: regions of two texts where linked windows of ``agree`` functions overlap."""
+    pairs = links.select(
         "doc_id",
         F.col("s.src").alias("src"),
         F.expr("shiftright(at, 32)").alias("l"),
@@ -140,7 +160,132 @@ def regions(found: DataFrame) -> DataFrame:
     reached = F.max("r").over(order.rowsBetween(Window.unboundedPreceding, -1))
     cuts = pairs.withColumn("new", F.coalesce((F.col("l") > reached).cast("int"), F.lit(0))).withColumn("region", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     joined = cuts.groupBy("doc_id", "src", "region").agg(F.min("l").alias("lo"), F.max("r").alias("hi"), F.min("sl").alias("src_lo"), F.max("sr").alias("src_hi"), F.bit_or("f").alias("functions"))
-    return joined.filter(F.bit_count("functions") >= AGREE).drop("region", "functions")
+    return joined.filter(F.bit_count("functions") >= agree).drop("region", "functions")
+
+
+CONTEXT_SCHEMA = "key long, doc_id long, at long, to long, same long, open boolean, context array<int>, bare array<tinyint>"
+
+
+def contexts(docs: DataFrame, near: DataFrame, found: DataFrame, least: int) -> DataFrame:
+    """Of the windows in groups of over three: the shingles around the centre, which of them no passage ``found`` covers (bare), and a hash of them all (same)."""
+    tokens = least - WIDTH + 1
+    wanted = near.filter("size > 3").groupBy("doc_id").agg(F.collect_list(F.struct("key", "at", "to")).alias("w"))  # a text's own windows
+    spans = found.groupBy("doc_id").agg(F.collect_set(F.struct("start", "n_words")).alias("spans"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in text_chunks(batches, "text"):
+            hashes, first = _shingles(texts_of(batch, "text"))
+            out: list[list] = [[] for _ in range(8)]
+            for d, doc in enumerate(batch.column("doc_id").to_pylist()):
+                own = hashes[first[d] : first[d + 1]]
+                small = (own & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+                bare = np.ones(len(own), np.int8)
+                for p in batch.column("spans")[d].as_py() or []:
+                    bare[p["start"] : p["start"] + p["n_words"] - WIDTH + 1] = 0
+                w = batch.column("w")[d].values
+                key, at, to = (w.field(c).to_numpy(zero_copy_only=False) for c in ("key", "at", "to"))
+                left, centre, right = at >> 32, at & 0xFFFFFFFF, to >> 8
+                # of rows that share an id, each knows its own windows by their minima
+                mine = right < len(own)
+                mine[mine] = mix64(own[centre[mine]] ^ SEEDS[to[mine] & 255]).view(np.int64) == key[mine]
+                lo, hi = np.maximum(left, centre - tokens + 1), np.minimum(right, centre + tokens - 1) + 1
+                for k in np.flatnonzero(mine).tolist():
+                    a, b = lo[k], hi[k]
+                    same = xxhash.xxh3_64_intdigest(own[a:b].tobytes()) - (1 << 63)
+                    for c, v in zip(out, (key[k], doc, at[k], to[k], same, bool(bare[a:b].any()), small[a:b], bare[a:b]), strict=True):
+                        c.append(v)
+            if out[0]:
+                at = pa.array(np.concatenate([[0], np.cumsum([len(c) for c in out[6]])]).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(at, pa.array(np.concatenate(c))) for c in out[6:]]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:5]), pa.array(out[5], pa.bool_()), *lists], [f.split()[0] for f in CONTEXT_SCHEMA.split(", ")])
+
+    return docs.join(wanted, "doc_id").join(spans, "doc_id", "left").select("doc_id", "text", "w", "spans").mapInArrow(run, CONTEXT_SCHEMA)
+
+
+def partners(g: dict, tokens: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(window, partner) rows of a group: the partners of smaller ids, verified on the contexts, that cover a window's bare shingles."""
+    values, first = g["context"]
+    bare = g["bare"][0].astype(bool)
+    doc, own, n = g["doc_id"], g["own"], len(g["doc_id"])
+    apart = g["i"][0] != g["j"][0]
+    row = np.repeat(np.arange(n), np.diff(first))
+    folded = np.bincount(row * FOLD + values.view(np.uint32) % FOLD, minlength=n * FOLD).reshape(n, FOLD).astype(np.float32)
+    distinct, ids = np.unique(values, return_inverse=True)
+    order = np.argsort(ids, kind="stable")
+    posted, start = row[order], np.concatenate([[0], np.cumsum(np.bincount(ids, minlength=len(distinct)))]).astype(np.int64)
+    # shingles that a passage shares at least; not known where some are repeated
+    need = np.full(n, -(-percent * tokens // 100))
+    need[[len(np.unique(ids[a:b])) < b - a for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]] = 1
+
+    def hits(of: np.ndarray, fit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``of``, row) of the rows in ``fit`` that have these shingles."""
+        m = start[of + 1] - start[of]
+        at = np.repeat(np.arange(len(of)), m)
+        rows = posted[np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(start[of], m)]
+        return at[fit[rows]], rows[fit[rows]]
+
+    a, b = [], []
+    todo = np.flatnonzero(g["open"])
+    for lo in range(0, len(todo), 128):
+        part = todo[lo : lo + 128]
+        fits = (folded[part] @ folded.T >= np.minimum(need[part][:, None], need[None, :])) & (doc[None, :] < doc[part][:, None])
+        if apart:
+            fits &= own[None, :] != own[part][:, None]
+        for u, fit in zip(part.tolist(), fits, strict=True):
+            if not fit.any():
+                continue
+            mine, left = ids[first[u] : first[u + 1]], bare[first[u] : first[u + 1]].copy()
+            some = np.unique(hits(mine[left], fit)[1])
+            if not len(some):
+                continue
+            some = some[np.argsort(doc[some], kind="stable")]
+            only, place = np.zeros(n, bool), np.zeros(n, np.int64)
+            only[some], place[some] = True, np.arange(len(some))
+            at, rows = hits(mine, only)
+            shared = np.zeros((len(some), len(mine)), bool)
+            shared[place[rows], at] = True
+            sums = np.concatenate([np.zeros((len(some), 1), np.int32), np.cumsum(shared, 1, dtype=np.int32)], 1)
+            wide = len(mine) - shared[:, ::-1].argmax(1) - shared.argmax(1) >= tokens
+            dense = (sums[:, tokens:] - sums[:, :-tokens]).max(1) >= np.minimum(need[u], need[some])
+            some, shared = some[wide & dense], shared[wide & dense]
+            while len(some):
+                gain = (shared & left).sum(1)
+                v = int(gain.argmax())
+                if not gain[v]:
+                    break
+                x = int(some[v])
+                before = left.sum()
+                for s, m, *_ in chains(values[first[u] : first[u + 1]], values[first[x] : first[x + 1]], tokens, percent):
+                    left[s : s + m] = False
+                if left.sum() < before:
+                    a.append(u)
+                    b.append(x)
+                shared[v] = False
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def open_links(rows: DataFrame, least: int, percent: int) -> DataFrame:
+    """(doc_id, at, to, s) of open windows with partners of smaller ids in their groups; ``rows``: as ``contexts`` gives them."""
+    side = F.struct(F.col("doc_id").alias("src"), F.col("at").alias("src_at"), F.col("to").alias("src_to"))
+    ranked = cut(rows.withColumn("s", F.first(side).over(Window.partitionBy("key", "same").orderBy("doc_id", "at"))))
+    equal = ranked.filter(F.col("open") & (F.col("s.src") != F.col("doc_id"))).select("doc_id", "at", "to", "s")
+    reps = ranked.filter(F.col("s.src") == F.col("doc_id")).drop("s", "same")
+    sizes = cut(reps.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n"), F.max("open").alias("any")).filter("n > 1 AND any").select("key", "blocks"))
+    dealt = (
+        reps.join(sizes, "key")
+        .withColumn("own", F.pmod(F.xxhash64("doc_id", "at"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "at", "to", "open", "context", "bare")
+    )
+
+    def run(g: dict) -> list | None:
+        a, b = partners(g, least - WIDTH + 1, percent)
+        return [*(pa.array(g[c][a]) for c in ("doc_id", "at", "to")), *(pa.array(g[c][b]) for c in ("doc_id", "at", "to"))] if len(a) else None
+
+    more = map_groups(dealt, ["key", "i", "j"], run, "doc_id long, at long, to long, src long, src_at long, src_to long")
+    return equal.unionByName(more.select("doc_id", "at", "to", F.struct("src", "src_at", "src_to").alias("s")))
 
 
 def chains(a: np.ndarray, b: np.ndarray, least: int, percent: int) -> list[tuple[int, int, int, int, float]]:
@@ -246,8 +391,12 @@ def _passages(texts: DataFrame, least: int, percent: int) -> DataFrame:
     else:
         rest = texts.join(bounded_broadcast(copies.select("doc_id"), FEW_IDS), "doc_id", "left_anti")
     with scratch(texts.sparkSession) as step:
-        found = step.keep(regions(windows(rest, least)))
-    near = verify(rest, found, least, percent)
+        groups = step.keep(met(windows(rest, least)))
+    with scratch(texts.sparkSession) as step:
+        near = step.keep(verify(rest, cut(regions(near_links(groups))), least, percent))
+    with scratch(texts.sparkSession) as step:
+        open_ = step.keep(regions(cut(open_links(contexts(rest, groups, near, least), least, percent)), 1))
+    near = near.unionByName(verify(rest, open_, least, percent))
     whole = texts.select("doc_id", words.cast("long").alias("n"), (F.col("text").rlike(r"^[\x20\x09-\x0D]").cast("int") + F.col("text").rlike(r"[\x20\x09-\x0D]\z").cast("int")).alias("ends"))
     whole = whole.join(bounded_broadcast(copies, FEW_IDS), "doc_id").withColumn("n", F.col("n") - F.col("ends")).filter(F.col("n") >= least)
     whole = whole.select("doc_id", F.lit(0).cast("long").alias("start"), F.col("n").alias("n_words"), F.col("rep").alias("src_doc_id"), F.lit(0).cast("long").alias("src_start"), F.col("n").alias("src_n_words"), F.lit(1.0).alias("similarity"))

@@ -225,6 +225,34 @@ def test_passages(spark, frame):
     assert substring_dedup.passages(frame([])).count() == 0 and substring_dedup.passages(frame([(1, "short"), (2, "short")])).count() == 0
 
 
+@pytest.mark.parametrize(("block", "common"), [(2048, 40), (16, 45), (16, 10)])
+def test_passages_in_mixed_groups(spark, frame, monkeypatch, block, common):
+    """Pairs whose passage holds a quote that many other texts have in other contexts, and a family of near copies of a passage."""
+    monkeypatch.setattr(substring_dedup, "BLOCK", block)
+    r = random.Random(6)
+    fill = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    quote, family = fill(common), fill(60)
+    inner = [f"{fill((61 - common) // 2)} {quote} {fill((60 - common) // 2)}" for _ in range(40)]
+    texts = [f"{fill(30)} {p} {fill(30)}" for p in inner * 2] + [f"{fill(30)} {quote} {fill(60)}" for _ in range(60)]
+    texts += [f"{fill(20)} {family} {x} {fill(20)}" for x in [fill(55) for _ in range(12)] * 2]
+    r.shuffle(texts)
+    rows = list(enumerate(texts))
+    got = collections.defaultdict(set)
+    for x in substring_dedup.passages(frame(rows)).collect():
+        got[x["doc_id"]].update(range(x["start"], x["start"] + x["n_words"]))
+    wanted = 0
+    seen: set = set()
+    for d, text in rows:
+        w = text.split()
+        runs = [tuple(w[k : k + 50]) for k in range(len(w) - 49)]
+        want = {p for k, run in enumerate(runs) if run in seen for p in range(k, k + 50)}
+        assert want <= got[d], (d, sorted(want - got[d]))
+        assert bool(want) or not got[d]
+        wanted += bool(want)
+        seen.update(runs)
+    assert wanted == 40 + 23
+
+
 def test_windows_do_not_depend_on_batches(frame):
     r = random.Random(7)
     fill = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(n))
