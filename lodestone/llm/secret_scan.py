@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 
 MAX_FINDINGS = 3000
 TREES, DEPTH, SEED = 15, 6, 11
-LONGEST = 512
 
 # Names that secrets are assigned to, words that speak for and against one, words of paths with samples.
 NAMES = "password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth[_-]?key|credentials?"
@@ -44,12 +43,12 @@ DICTIONARY = (
 
 PATTERN = (
     r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
-    rf"|(?i:{NAMES})[\"']?\s{{0,3}}[:=]{{1,2}}\s{{0,3}}[\"']?[^\s\"'<>]{{6,{LONGEST}}}"
-    rf"|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{{20,{LONGEST}}}"
+    rf"|(?i:{NAMES})[\"']?\s{{0,3}}[:=]{{1,2}}\s{{0,3}}[\"']?[^\s\"'<>]{{6,}}+"
+    r"|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{20,}+"
 )
 #: What stands before the value in an assignment.
 HEAD = rf"^(?i:{NAMES})[\"']?\s{{0,3}}[:=]{{1,2}}\s{{0,3}}[\"']?"
-TAIL = r"[.,;:!?)\]}]+$"
+TAIL = r"(?<![.,;:!?)\]}])[.,;:!?)\]}]++$"
 
 FEATURES = ["chars", "digits", "uppers", "lowers", "transitions", "distinct", "covered", "hexadecimal", "assigned", "beside_for", "beside_against", "sample_path", "prefixed", "vowels"]
 

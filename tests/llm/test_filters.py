@@ -152,6 +152,16 @@ def test_secrets(spark, frame, forest):
     assert secret_scan.scan(bare, forest).count() == len(got)
 
 
+def test_long_secrets_are_found_whole(frame, forest):
+    r = random.Random(3)
+    blob = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(200_000))
+    rows = [(1, f'token = "{blob[:1600]}" end'), (2, f"secret key {blob[:1600]} end"), (3, f"token={blob} end")]
+    got = {x["doc_id"]: (x["start"], x["length"], x["secret"]) for x in secret_scan.scan(frame(rows), forest).collect()}
+    assert got == {1: (9, 1600, blob[:1600]), 2: (11, 1600, blob[:1600]), 3: (6, 200_000, blob)}
+    clean = {x["doc_id"]: x["text"] for x in secret_scan.redact(frame(rows), forest).collect()}
+    assert clean == {1: 'token = "[SECRET]" end', 2: "secret key [SECRET] end", 3: "token=[SECRET] end"}
+
+
 def test_secret_plan_is_native(spark, frame, forest):
     for df in (secret_scan.scan(frame(EDGES), forest), secret_scan.redact(frame(EDGES), forest)):
         plan = df._jdf.queryExecution().executedPlan().toString()
