@@ -4,8 +4,7 @@ Every document is tokenised once, full windows of ``capacity`` tokens become
 sequences of their own, and what remains is packed per group of about
 ``group_tokens`` tokens: pieces in descending length go to the sequence with the
 lowest estimated cost (``linear * n + quadratic * n * n`` per piece, since attention
-stays inside a document) that still has room; a piece that fits in none of the
-cheapest few is cut.  A group opens ceil(tokens / capacity) sequences, so it pads
+stays inside a document) that still has room; a piece that fits in none is cut.  A group opens ceil(tokens / capacity) sequences, so it pads
 by less than one sequence.
 
 All of it happens in one pass over the input partitions: no shuffle, and a task
@@ -80,34 +79,51 @@ def piece_cost(n: int, linear: float, quadratic: float) -> float:
     return linear * n + quadratic * n * n
 
 
-def assign(lengths: list[int], capacity: int, linear: float, quadratic: float, tries: int = 8) -> tuple[list[list[tuple[int, int, int]]], list[float]]:
+def assign(lengths: list[int], capacity: int, linear: float, quadratic: float) -> tuple[list[list[tuple[int, int, int]]], list[float]]:
     """Pack pieces, cutting where needed: per sequence its (piece, start, length) in order, and each sequence's cost."""
     bins = -(-sum(lengths) // capacity)
     content: list[list[tuple[int, int, int]]] = [[] for _ in range(bins)]
     room, cost = [capacity] * bins, [0.0] * bins
-    heap = [(0.0, b) for b in range(bins)]
+    # a heap of the sequences of each room, and a tree of the heaps' minima
+    leaves = 1 << capacity.bit_length()
+    none = (float("inf"), -1)
+    heaps: list[list[tuple[float, int]]] = [[] for _ in range(leaves)]
+    tree = [none] * (2 * leaves)
+
+    def renew(r: int) -> None:
+        k = leaves + r
+        tree[k] = heaps[r][0] if heaps[r] else none
+        while k > 1:
+            k >>= 1
+            tree[k] = min(tree[2 * k], tree[2 * k + 1])
+
+    def cheapest(least: int) -> int:
+        """The cheapest sequence with that much room, or -1."""
+        k = leaves + least
+        best = tree[k]
+        while k > 1:
+            if not k & 1:
+                best = min(best, tree[k + 1])
+            k >>= 1
+        return best[1]
+
+    heaps[capacity] = [(0.0, b) for b in range(bins)]
+    renew(capacity)
     for piece in sorted(range(len(lengths)), key=lambda p: (-lengths[p], p)):
         start, left = 0, lengths[piece]
         while left:
-            aside = []
-            while heap and len(aside) < tries and room[heap[0][1]] < left:
-                aside.append(heapq.heappop(heap))
-            if not heap or room[heap[0][1]] < left:
-                # none of the cheapest has room for all of it: cut at the cheapest one
-                at = aside[0][1] if aside else heap[0][1]
-                aside = [x for x in aside if x[1] != at]
-                if heap and heap[0][1] == at:
-                    heapq.heappop(heap)
-            else:
-                at = heapq.heappop(heap)[1]
+            at = cheapest(left) if left <= capacity else -1
+            if at < 0:  # no sequence has room for all of it: cut at the cheapest one
+                at = cheapest(1)
             n = min(left, room[at])
+            heapq.heappop(heaps[room[at]])
+            renew(room[at])
             content[at].append((piece, start, n))
             room[at] -= n
             cost[at] += piece_cost(n, linear, quadratic)
             if room[at]:
-                aside.append((cost[at], at))
-            for x in aside:
-                heapq.heappush(heap, x)
+                heapq.heappush(heaps[room[at]], (cost[at], at))
+                renew(room[at])
             start, left = start + n, left - n
     return content, cost
 

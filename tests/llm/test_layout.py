@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.llm import chat_format as C
-from lodestone.llm import queries, sharding
+from lodestone.llm import packing, queries, sharding
 
 from .conftest import EDGES
 
@@ -137,3 +137,18 @@ def test_written_shards(spark, frame, tmp_path):
     sharding.write_shards(frame(rows), at, shards=5, least_buckets=4)
     back = spark.read.parquet(at)
     assert back.count() == 100 and back.select("shard").distinct().count() == 5
+
+
+def test_pieces_are_cut_only_where_no_sequence_has_room():
+    r = random.Random(9)
+    for lengths in ([60] * 12 + [35] * 12 + [90], [r.randrange(1, 100) for _ in range(400)]):
+        bins = -(-sum(lengths) // 100)
+        room, cost, want = [100] * bins, [0.0] * bins, [[] for _ in range(bins)]
+        for p in sorted(range(len(lengths)), key=lambda p: (-lengths[p], p)):
+            start, left = 0, lengths[p]
+            while left:
+                _, at = min([(cost[b], b) for b in range(bins) if room[b] >= left] or [(cost[b], b) for b in range(bins) if room[b]])
+                n = min(left, room[at])
+                want[at].append((p, start, n))
+                room[at], cost[at], start, left = room[at] - n, cost[at] + packing.piece_cost(n, 1.0, 0.01), start + n, left - n
+        assert packing.assign(lengths, 100, 1.0, 0.01) == (want, cost)
