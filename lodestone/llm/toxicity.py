@@ -37,19 +37,22 @@ BUCKETS, DIM, EPOCHS, RATE, BATCH, SCALE = 1 << 17, 8, 12, 0.15, 32, 30.0
 SHORTEST, LONGEST = 3, 6
 #: Sample texts that must have a bucket (fewer in small samples), and the decay of vectors a step.
 LEAST_TEXTS, DECAY = 8, 2e-5
+#: Characters of a word that a worker remembers; longer ones are scored each time.
+KEPT = 64
 EDGES = ".,;:!?\"'()[]{}#*$%&|<>-"
 
 
 def stem(word: bytes) -> str:
-    return word.decode("utf-8", "replace").lower().strip(EDGES)[:64]
+    return word.decode("utf-8", "replace").lower().strip(EDGES)
 
 
 def ngrams(text: str) -> set[int]:
     """Buckets of a word and its character n-grams, with marks at both ends."""
     marked = f"<{text}>"
-    grams = {marked[i : i + n] for n in range(SHORTEST, LONGEST + 1) for i in range(len(marked) - n + 1)}
-    grams.add(marked)
-    return {zlib.crc32(g.encode("utf-8", "replace")) % BUCKETS for g in grams}
+    # buckets at once: a long word's n-grams aren't held as strings
+    grams = {zlib.crc32(marked[i : i + n].encode("utf-8", "replace")) % BUCKETS for n in range(SHORTEST, LONGEST + 1) for i in range(len(marked) - n + 1)}
+    grams.add(zlib.crc32(marked.encode("utf-8", "replace")) % BUCKETS)
+    return grams
 
 
 @dataclass
@@ -171,8 +174,11 @@ class WordMargin(dict):
         m = self.stems.get(text)
         if m is None:
             got = [x for x in map(self.logits.__getitem__, ngrams(text)) if x == x]
-            m = self.stems[text] = sum(got) / len(got) if got else 0.0
-        self[word] = m
+            m = sum(got) / len(got) if got else 0.0
+            if len(text) <= KEPT:
+                self.stems[text] = m
+        if len(word) <= 4 * KEPT:
+            self[word] = m
         return m
 
     def trim(self) -> None:

@@ -175,3 +175,11 @@ def test_forest_on_held_out_findings(spark):
     assert ((f.predict(x[k:]) >= 0.5) == y[k:]).mean() > 0.95
     empty = secret_scan.Forest(np.zeros((0, len(secret_scan.FEATURES))), np.zeros(0))
     assert empty.predict(x[:2]).tolist() == [0.0, 0.0]
+
+
+def test_toxicity_reads_long_words_to_their_ends():
+    long = ("fine\u3000" * 40 + "vile").encode()
+    assert toxicity.stem(long).endswith("vile")
+    logits = np.zeros(toxicity.BUCKETS, np.float32)
+    logits[zlib.crc32(b"vile") % toxicity.BUCKETS] = 1
+    assert toxicity.WordMargin(logits)[long] > 0
