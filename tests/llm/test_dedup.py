@@ -154,6 +154,15 @@ def test_near_vectors(spark, shard, per_cell):
     assert len(wrong) <= 0.01 * len(rows)
 
 
+def test_near_vectors_across_cells(spark, monkeypatch):
+    eye = np.eye(20)
+    monkeypatch.setattr(vector_dedup, "centroids", lambda x, k: eye[:2])
+    along, over = (eye[0] + eye[1]) / 2**0.5, (eye[0] - eye[1]) / 2**0.5
+    rows = [(k, eye[k].tolist(), 1) for k in range(2, 20)] + [(30 + k, ((1 - 0.095**2) ** 0.5 * along + s * 0.095 * over).tolist(), 1) for k, s in enumerate((1, -1))]
+    got = vector_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), 0.98, per_cell=8).collect()
+    assert {x["vec_id"]: (x["n_links"], x["component_id"]) for x in got if x["n_links"]} == {30: (1, 30), 31: (1, 30)}
+
+
 def test_near_vectors_of_nothing(spark):
     schema = "vec_id long, embedding array<float>, label int"
     assert vector_dedup.near_vectors(spark.createDataFrame([], schema)).count() == 0
