@@ -213,19 +213,11 @@ def partners(g: dict, tokens: int, percent: int) -> tuple[np.ndarray, np.ndarray
     row = np.repeat(np.arange(n), np.diff(first))
     folded = np.bincount(row * FOLD + values.view(np.uint32) % FOLD, minlength=n * FOLD).reshape(n, FOLD).astype(np.float32)
     distinct, ids = np.unique(values, return_inverse=True)
-    order = np.argsort(ids, kind="stable")
-    posted, start = row[order], np.concatenate([[0], np.cumsum(np.bincount(ids, minlength=len(distinct)))]).astype(np.int64)
+    place = np.full(len(distinct), -1)
     # shingles that a passage shares at least; not known where some are repeated
     need = np.full(n, -(-percent * tokens // 100))
     need[[len(np.unique(ids[a:b])) < b - a for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]] = 1
 
-    def hits(of: np.ndarray, fit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in ``of``, row) of the rows in ``fit`` that have these shingles."""
-        m = start[of + 1] - start[of]
-        at = np.repeat(np.arange(len(of)), m)
-        rows = posted[np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(start[of], m)]
-        return at[fit[rows]], rows[fit[rows]]
-
     a, b = [], []
     todo = np.flatnonzero(g["open"])
     for lo in range(0, len(todo), 128):
@@ -234,18 +226,23 @@ def partners(g: dict, tokens: int, percent: int) -> tuple[np.ndarray, np.ndarray
         if apart:
             fits &= own[None, :] != own[part][:, None]
         for u, fit in zip(part.tolist(), fits, strict=True):
-            if not fit.any():
+            some = np.flatnonzero(fit)
+            if not len(some):
                 continue
+            some = some[np.argsort(doc[some], kind="stable")]
             mine, left = ids[first[u] : first[u + 1]], bare[first[u] : first[u + 1]].copy()
-            some = np.unique(hits(mine[left], fit)[1])
+            uniq, back = np.unique(mine, return_inverse=True)
+            place[uniq] = np.arange(len(uniq))
+            m = first[some + 1] - first[some]
+            at = place[ids[np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(first[some], m)]]
+            place[uniq] = -1
+            common = np.zeros((len(some), len(uniq)), bool)
+            common[np.repeat(np.arange(len(some)), m)[at >= 0], at[at >= 0]] = True
+            shared = common[:, back]
+            useful = (shared & left).any(1)
+            some, shared = some[useful], shared[useful]
             if not len(some):
                 continue
-            some = some[np.argsort(doc[some], kind="stable")]
-            only, place = np.zeros(n, bool), np.zeros(n, np.int64)
-            only[some], place[some] = True, np.arange(len(some))
-            at, rows = hits(mine, only)
-            shared = np.zeros((len(some), len(mine)), bool)
-            shared[place[rows], at] = True
             sums = np.concatenate([np.zeros((len(some), 1), np.int32), np.cumsum(shared, 1, dtype=np.int32)], 1)
             wide = len(mine) - shared[:, ::-1].argmax(1) - shared.argmax(1) >= tokens
             dense = (sums[:, tokens:] - sums[:, :-tokens]).max(1) >= np.minimum(need[u], need[some])
