@@ -16,10 +16,13 @@
 5. Groups of more than three windows hold pairs that were not linked.  A window there is
    open while its context, the shingles that a shortest passage around its centre can
    reach, is not covered by passages found.  Windows of equal contexts are stood for by
-   their first text; the others' contexts are sent to pairs of blocks of bounded size,
-   where open windows are compared with all windows of smaller ids and their partners
-   verified on the contexts.  A window keeps the partners that cover more of it, so
-   links don't grow with pairs; they go through step 4 with one function being enough.
+   their first text.  What two others share holds a shingle that is rare in the group, and
+   then one near to their centres, or frequent ones alone that reach over a passage's
+   length.  Groups over ``BLOCK`` are so split into groups by a rare shingle, which are
+   bounded, and the distinct profiles of frequent shingles, which go to pairs of blocks;
+   inside a group the same rule names the partners of smaller ids, which are verified on
+   the contexts.  A window keeps the partners that cover more of it, so links don't grow
+   with pairs; they go through step 4 with one function being enough.
 
 Passages of a text are reported against smaller ids only, so the first text that has a
 passage keeps it.  Not all texts that share a passage are named, but each of its parts is
@@ -33,11 +36,13 @@ columns are ignored by ``passages`` and carried by ``remove``.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,8 +51,8 @@ from lodestone.llm.common import bounded_broadcast, cut, map_groups, mix64, scra
 WIDTH, HASHES, AGREE = 5, 4, 2
 #: Words of the shortest passage.
 LEAST = 50
-#: Windows that a block of a group holds, and counters that a context is folded into before it is compared exactly.
-BLOCK, FOLD = 2048, 1024
+#: Windows that a block of a group holds; windows from which a shingle is frequent in a block, and rare ones looked at on either side of a centre.
+BLOCK, HOT, RARE = 2048, 32, 16
 #: Shingles that a chain may jump over, and ids that are broadcast at most.
 GAP, FEW_IDS = 15, 1_000_000
 
@@ -163,95 +168,182 @@ def regions(links: DataFrame, agree: int = AGREE) -> DataFrame:
     return joined.filter(F.bit_count("functions") >= agree).drop("region", "functions")
 
 
-CONTEXT_SCHEMA = "key long, doc_id long, at long, to long, same long, open boolean, context array<int>, bare array<tinyint>"
+CONTEXT_SCHEMA = "key long, doc_id long, at long, to long, same long, open boolean, mid int, context array<int>"
 
 
 def contexts(docs: DataFrame, near: DataFrame, found: DataFrame, least: int) -> DataFrame:
-    """Of the windows in groups of over three: the shingles around the centre, which of them no passage ``found`` covers (bare), and a hash of them all (same)."""
+    """Of the windows in groups of over three: the shingles around the centre, and a hash of them all (same).
+
+    context: 31 bits of each shingle's hash and, lowest, whether no passage of ``found``
+    covers it (bare); mid: the centre's place; open: whether any is bare.
+    """
     tokens = least - WIDTH + 1
     wanted = near.filter("size > 3").groupBy("doc_id").agg(F.collect_list(F.struct("key", "at", "to")).alias("w"))  # a text's own windows
     spans = found.groupBy("doc_id").agg(F.collect_set(F.struct("start", "n_words")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for batch in text_chunks(batches, "text"):
             hashes, first = _shingles(texts_of(batch, "text"))
-            out: list[list] = [[] for _ in range(8)]
-            for d, doc in enumerate(batch.column("doc_id").to_pylist()):
-                own = hashes[first[d] : first[d + 1]]
-                small = (own & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-                bare = np.ones(len(own), np.int8)
-                for p in batch.column("spans")[d].as_py() or []:
-                    bare[p["start"] : p["start"] + p["n_words"] - WIDTH + 1] = 0
-                w = batch.column("w")[d].values
-                key, at, to = (w.field(c).to_numpy(zero_copy_only=False) for c in ("key", "at", "to"))
-                left, centre, right = at >> 32, at & 0xFFFFFFFF, to >> 8
-                # of rows that share an id, each knows its own windows by their minima
-                mine = right < len(own)
-                mine[mine] = mix64(own[centre[mine]] ^ SEEDS[to[mine] & 255]).view(np.int64) == key[mine]
-                lo, hi = np.maximum(left, centre - tokens + 1), np.minimum(right, centre + tokens - 1) + 1
-                for k in np.flatnonzero(mine).tolist():
-                    a, b = lo[k], hi[k]
-                    same = xxhash.xxh3_64_intdigest(own[a:b].tobytes()) - (1 << 63)
-                    for c, v in zip(out, (key[k], doc, at[k], to[k], same, bool(bare[a:b].any()), small[a:b], bare[a:b]), strict=True):
-                        c.append(v)
-            if out[0]:
-                at = pa.array(np.concatenate([[0], np.cumsum([len(c) for c in out[6]])]).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(at, pa.array(np.concatenate(c))) for c in out[6:]]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:5]), pa.array(out[5], pa.bool_()), *lists], [f.split()[0] for f in CONTEXT_SCHEMA.split(", ")])
+            bare = np.ones(len(hashes), np.int64)
+            for d, covered in enumerate(batch.column("spans").to_pylist()):
+                for p in covered or []:
+                    bare[first[d] + p["start"] : min(first[d] + p["start"] + p["n_words"] - WIDTH + 1, first[d + 1])] = 0
+            w = batch.column("w").flatten()
+            key, at, to = (w.field(c).to_numpy(zero_copy_only=False) for c in ("key", "at", "to"))
+            d = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column("w")).to_numpy(zero_copy_only=False))
+            # of rows that share an id, each knows its own windows by their minima
+            mine = first[d] + (to >> 8) < first[d + 1]
+            mine[mine] = mix64(hashes[first[d[mine]] + (at[mine] & 0xFFFFFFFF)] ^ SEEDS[to[mine] & 255]).view(np.int64) == key[mine]
+            key, at, to, d = key[mine], at[mine], to[mine], d[mine]
+            doc = batch.column("doc_id").to_numpy(zero_copy_only=False)[d]
+            centre = first[d] + (at & 0xFFFFFFFF)
+            lo, hi = np.maximum(first[d] + (at >> 32), centre - tokens + 1), np.minimum(first[d] + (to >> 8), centre + tokens - 1) + 1
+            # prefix sums of hashes, plain and by place, tell equal stretches
+            mixed, place = mix64(hashes), np.arange(len(hashes), dtype=np.uint64)
+            with np.errstate(over="ignore"):
+                sums, placed = (np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)]) for x in (mixed, mixed * place))
+                total = sums[hi] - sums[lo]
+                same = mix64(total ^ mix64(placed[hi] - placed[lo] - lo.astype(np.uint64) * total + (hi - lo).astype(np.uint64))).view(np.int64)
+            bares = np.concatenate([[0], np.cumsum(bare)])
+            small = ((hashes >> np.uint64(33)).astype(np.int64) << 1 | bare).astype(np.uint32).view(np.int32)
+            for k in range(0, len(key), 16384):
+                part = slice(k, k + 16384)
+                n = hi[part] - lo[part]
+                ends = np.cumsum(n)
+                values = small[np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(lo[part], n)]
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values))
+                columns = [key[part], doc[part], at[part], to[part], same[part], bares[hi[part]] > bares[lo[part]], (centre - lo)[part].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), lists], [f.split()[0] for f in CONTEXT_SCHEMA.split(", ")])
 
     return docs.join(wanted, "doc_id").join(spans, "doc_id", "left").select("doc_id", "text", "w", "spans").mapInArrow(run, CONTEXT_SCHEMA)
 
 
+def beside(rare: np.ndarray, first: np.ndarray, mid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in a row) of the ``RARE`` rare shingles of each context that are nearest to its centre on either side, and their sides."""
+    row = np.repeat(np.arange(len(mid)), np.diff(first))
+    upto = np.concatenate([[0], np.cumsum(rare)])
+    centre = first[:-1] + mid
+    at = np.flatnonzero(rare)
+    left = at < centre[row[at]]
+    between = np.where(left, upto[centre[row[at]]] - upto[at] - 1, upto[at] - upto[np.minimum(centre[row[at]] + 1, len(rare))])
+    ok = (between >= 0) & (between < RARE) & (at != centre[row[at]])
+    return at[ok], left[ok].astype(np.int64)
+
+
+def candidates(ids: np.ndarray, counts: np.ndarray, first: np.ndarray, g: dict, bare: np.ndarray, tokens: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (window, possible partner of a smaller id) of a group.
+
+    What two windows share of a passage holds the common centre and reaches ``tokens``
+    shingles.  Either a shingle that is rare in the group is among it, and then one that is near
+    to the centre (a chain jumps over ``GAP`` at most), or it is all of frequent ones.
+    """
+    n, doc, own = len(first) - 1, g["doc_id"], g["own"]
+    row = np.repeat(np.arange(n), np.diff(first))
+    frequent = counts[ids] > HOT
+    at, side = beside(~frequent, first, g["mid"])
+    at, side = at[counts[ids[at]] > 1], side[counts[ids[at]] > 1]
+    code = ids[at] * 2 + side
+    by = np.argsort(code, kind="stable")
+    code, who = code[by], row[at][by]
+    pairs = [np.zeros(0, np.int64)]
+    for step in range(1, HOT):
+        same = np.flatnonzero(code[step:] == code[:-step])
+        if not len(same):
+            break
+        u, v = who[same], who[same + step]
+        u, v = np.where(doc[u] > doc[v], u, v), np.where(doc[u] > doc[v], v, u)
+        ok = (doc[u] > doc[v]) & g["open"][u]
+        pairs.append(np.unique(u[ok] * n + v[ok]))
+    # frequent shingles that reach over a passage's length
+    place = np.flatnonzero(frequent)
+    low, high = np.full(n, len(ids)), np.full(n, -1)
+    np.minimum.at(low, row[place], place)
+    np.maximum.at(high, row[place], place)
+    wide = high - low >= tokens - 1
+    hungry = np.zeros(n, bool)
+    hungry[row[place[bare[place]]]] = True
+    others = np.flatnonzero(wide)
+    for u in np.flatnonzero(wide & hungry & g["open"]).tolist():
+        pairs.append(u * n + others[doc[others] < doc[u]])
+    codes = np.unique(np.concatenate(pairs))
+    u, v = codes // n, codes % n
+    if g["i"][0] != g["j"][0]:
+        u, v = u[own[u] != own[v]], v[own[u] != own[v]]
+    return u, v
+
+
+@functools.cache
+def spans_of(n: int, tokens: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last place of each span of at least ``tokens`` in a sequence of ``n``."""
+    i, j = np.triu_indices(n, tokens - 1)
+    return i, j
+
+
+def may_hold(shared: np.ndarray, at: np.ndarray, left: np.ndarray, tokens: int, percent: int) -> np.ndarray:
+    """Of each partner, whether some span that both ends of are shared is similar enough and holds a shingle of ``left``.
+
+    shared: partner x place; at: the partner's place of a shared shingle.  For sequences without repeated shingles.
+    """
+    i, j = spans_of(shared.shape[1], tokens)
+    out = np.zeros(len(shared), bool)
+    if not len(i):
+        return out
+    zero = np.zeros((len(shared), 1), np.int16)
+    sums, useful = (np.concatenate([zero, np.cumsum(x, 1, dtype=np.int16)], 1) for x in (shared, shared & left))
+    at = at.astype(np.int16)
+    x = (j - i + 1).astype(np.int16)
+    for lo in range(0, len(shared), 256):
+        part = slice(lo, lo + 256)
+        same = sums[part][:, j + 1] - sums[part][:, i]
+        y = np.abs(at[part][:, j] - at[part][:, i]) + 1
+        ok = (100 * same.astype(np.int32) >= percent * (x + np.maximum(y, same) - same)) & shared[part][:, i] & shared[part][:, j]
+        out[part] = (ok & (useful[part][:, j + 1] > useful[part][:, i])).any(1)
+    return out
+
+
 def partners(g: dict, tokens: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(window, partner) rows of a group: the partners of smaller ids, verified on the contexts, that cover a window's bare shingles."""
-    values, first = g["context"]
-    bare = g["bare"][0].astype(bool)
-    doc, own, n = g["doc_id"], g["own"], len(g["doc_id"])
-    apart = g["i"][0] != g["j"][0]
-    row = np.repeat(np.arange(n), np.diff(first))
-    folded = np.bincount(row * FOLD + values.view(np.uint32) % FOLD, minlength=n * FOLD).reshape(n, FOLD).astype(np.float32)
-    distinct, ids = np.unique(values, return_inverse=True)
+    packed, first = g["context"]
+    values, bare = packed >> 1, (packed & 1).astype(bool)
+    doc, n = g["doc_id"], len(g["doc_id"])
+    distinct, ids, counts = np.unique(values, return_inverse=True, return_counts=True)
     place = np.full(len(distinct), -1)
-    # shingles that a passage shares at least; not known where some are repeated
-    need = np.full(n, -(-percent * tokens // 100))
-    need[[len(np.unique(ids[a:b])) < b - a for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]] = 1
+    by_row = np.sort(np.repeat(np.arange(n), np.diff(first)) * len(distinct) + ids)
+    repeated = np.zeros(n, bool)
+    repeated[by_row[1:][by_row[1:] == by_row[:-1]] // max(len(distinct), 1)] = True
 
     a, b = [], []
-    todo = np.flatnonzero(g["open"])
-    for lo in range(0, len(todo), 128):
-        part = todo[lo : lo + 128]
-        fits = (folded[part] @ folded.T >= np.minimum(need[part][:, None], need[None, :])) & (doc[None, :] < doc[part][:, None])
-        if apart:
-            fits &= own[None, :] != own[part][:, None]
-        for u, fit in zip(part.tolist(), fits, strict=True):
-            some = np.flatnonzero(fit)
-            if not len(some):
-                continue
-            some = some[np.argsort(doc[some], kind="stable")]
-            mine, left = ids[first[u] : first[u + 1]], bare[first[u] : first[u + 1]].copy()
-            uniq, back = np.unique(mine, return_inverse=True)
-            place[uniq] = np.arange(len(uniq))
+    us, vs = candidates(ids, counts, first, g, bare, tokens)
+    cuts = np.flatnonzero(np.diff(us)) + 1
+    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(us)], strict=True) if len(us) else []:
+        u, all_ = int(us[lo]), vs[lo:hi]
+        mine, left = ids[first[u] : first[u + 1]], bare[first[u] : first[u + 1]].copy()
+        uniq, back = np.unique(mine, return_inverse=True)
+        place[uniq] = np.arange(len(uniq))
+        kept = []
+        for k in range(0, len(all_), 4096):
+            some = all_[k : k + 4096]
             m = first[some + 1] - first[some]
-            at = place[ids[np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(first[some], m)]]
-            place[uniq] = -1
-            common = np.zeros((len(some), len(uniq)), bool)
-            common[np.repeat(np.arange(len(some)), m)[at >= 0], at[at >= 0]] = True
-            shared = common[:, back]
-            useful = (shared & left).any(1)
-            some, shared = some[useful], shared[useful]
-            if not len(some):
-                continue
-            sums = np.concatenate([np.zeros((len(some), 1), np.int32), np.cumsum(shared, 1, dtype=np.int32)], 1)
-            wide = len(mine) - shared[:, ::-1].argmax(1) - shared.argmax(1) >= tokens
-            dense = (sums[:, tokens:] - sums[:, :-tokens]).max(1) >= np.minimum(need[u], need[some])
-            some, shared = some[wide & dense], shared[wide & dense]
-            while len(some):
-                gain = (shared & left).sum(1)
+            inner = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            at = place[ids[inner + np.repeat(first[some], m)]]
+            where = np.full((len(some), len(uniq)), -1, np.int16)
+            where[np.repeat(np.arange(len(some)), m)[at >= 0], at[at >= 0]] = inner[at >= 0]
+            where = where[:, back]
+            shared = where >= 0
+            ok = (len(mine) - shared[:, ::-1].argmax(1) - shared.argmax(1) >= tokens) & (shared & left).any(1)
+            kept.append((some[ok], where[ok]))
+        place[uniq] = -1
+        some, where = (np.concatenate(c) for c in zip(*kept, strict=True))
+        order = np.argsort(doc[some], kind="stable")
+        some, where = some[order], where[order]
+        unclear = repeated[some] | repeated[u]
+        while len(some):
+            ok = unclear | may_hold(where >= 0, where, left, tokens, percent)
+            some, where, unclear = some[ok], where[ok], unclear[ok]
+            gain = ((where >= 0) & left).sum(1)
+            while len(some) and gain.any():
                 v = int(gain.argmax())
-                if not gain[v]:
-                    break
+                gain[v] = 0
                 x = int(some[v])
                 before = left.sum()
                 for s, m, *_ in chains(values[first[u] : first[u + 1]], values[first[x] : first[x + 1]], tokens, percent):
@@ -259,26 +351,109 @@ def partners(g: dict, tokens: int, percent: int) -> tuple[np.ndarray, np.ndarray
                 if left.sum() < before:
                     a.append(u)
                     b.append(x)
-                shared[v] = False
+                    break
+            else:
+                break
+            rest = gain > 0
+            some, where, unclear = some[rest], where[rest], unclear[rest]
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def open_links(rows: DataFrame, least: int, percent: int) -> DataFrame:
-    """(doc_id, at, to, s) of open windows with partners of smaller ids in their groups; ``rows``: as ``contexts`` gives them."""
-    side = F.struct(F.col("doc_id").alias("src"), F.col("at").alias("src_at"), F.col("to").alias("src_to"))
-    ranked = cut(rows.withColumn("s", F.first(side).over(Window.partitionBy("key", "same").orderBy("doc_id", "at"))))
+def split(large: DataFrame, tokens: int) -> tuple[DataFrame, DataFrame]:
+    """Windows of groups over ``BLOCK``: those that share a rare shingle near their centres, in smaller groups, and their profiles of frequent shingles alone.
+
+    Frequent in a group is what over ``BLOCK`` of its windows hold, so the groups by a rare
+    shingle are bounded, and what is shared by frequent shingles alone is decided among the
+    distinct profiles that reach over a passage's length.
+    """
+    shingles = large.select("key", F.explode(F.array_distinct(F.transform("context", lambda x: F.shiftright(x, 1)))).alias("h"))
+    frequent = cut(shingles.groupBy("key", "h").count().filter(F.col("count") > BLOCK).groupBy("key").agg(F.collect_list("h").alias("frequent")))
+    told = cut(large.join(frequent, "key", "left"))
+
+    def masks(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        lists = batch.column("context")
+        packed = lists.flatten().to_numpy(zero_copy_only=False)
+        first = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        key = batch.column("key").to_numpy(zero_copy_only=False)
+        hot = np.zeros(len(packed), bool)
+        for k in np.unique(key).tolist():  # rows of a key lie together
+            rows = np.flatnonzero(key == k)
+            known = batch.column("frequent")[int(rows[0])].as_py() or []
+            for r in rows.tolist():
+                hot[first[r] : first[r + 1]] = np.isin(packed[first[r] : first[r + 1]] >> 1, known)
+        return packed, first, hot
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                packed, first, hot = masks(batch)
+                at, side = beside(~hot, first, batch.column("mid").to_numpy(zero_copy_only=False))
+                row = np.repeat(np.arange(batch.num_rows), np.diff(first))[at]
+                key = batch.column("key").to_numpy(zero_copy_only=False)[row]
+                sub = mix64(key.view(np.uint64) ^ mix64((packed[at] >> 1).astype(np.int64).view(np.uint64) * np.uint64(2) + side.astype(np.uint64))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(sub), *(batch.column(c).take(pa.array(row)) for c in ("key", "doc_id", "at", "to", "open"))], ["sub", "key", "doc_id", "at", "to", "open"])
+
+    def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                packed, first, hot = masks(batch)
+                row, at = np.repeat(np.arange(batch.num_rows), np.diff(first)), np.arange(len(packed))
+                low, high, open_ = np.full(batch.num_rows, len(packed)), np.full(batch.num_rows, -1), np.zeros(batch.num_rows, bool)
+                np.minimum.at(low, row[hot], at[hot])
+                np.maximum.at(high, row[hot], at[hot])
+                open_[row[hot & (packed & 1 == 1)]] = True
+                with np.errstate(over="ignore"):
+                    terms = np.where(hot, mix64((packed >> 1).astype(np.uint64)) * mix64((at - np.minimum(low[row], at)).astype(np.uint64) + np.uint64(1)), np.uint64(0))
+                    same = np.add.reduceat(terms, first[:-1])  # a context is never empty
+                keep = pa.array(high - low >= tokens - 1)
+                made = batch.select([f.split()[0] for f in CONTEXT_SCHEMA.split(", ")])
+                made = made.set_column(4, "same", pa.array(same.view(np.int64))).set_column(5, "open", pa.array(open_))
+                yield made.filter(keep)
+
+    marks = cut(told.mapInArrow(rare, "sub long, key long, doc_id long, at long, to long, open boolean").distinct())
+    several = marks.groupBy("sub").agg(F.count("*").alias("n"), F.max("open").alias("any")).filter("n > 1 AND any").select("sub")
+    near = marks.join(several, "sub").drop("open").join(large, ["key", "doc_id", "at", "to"]).drop("key").withColumnRenamed("sub", "key")
+    return near, told.mapInArrow(profiles, CONTEXT_SCHEMA)
+
+
+SIDE = "named_struct('src', doc_id, 'src_at', at, 'src_to', to)"
+DEALT = ["key", "i", "j", "own", "doc_id", "at", "to", "open", "mid", "context"]
+
+
+def by_context(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links of windows to the first one of equal context in their group, and those first ones."""
+    ranked = cut(rows.withColumn("s", F.first(F.expr(SIDE)).over(Window.partitionBy("key", "same").orderBy("doc_id", "at"))))
     equal = ranked.filter(F.col("open") & (F.col("s.src") != F.col("doc_id"))).select("doc_id", "at", "to", "s")
-    reps = ranked.filter(F.col("s.src") == F.col("doc_id")).drop("s", "same")
-    sizes = cut(reps.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n"), F.max("open").alias("any")).filter("n > 1 AND any").select("key", "blocks"))
-    dealt = (
-        reps.join(sizes, "key")
+    return equal, ranked.filter(F.col("s.src") == F.col("doc_id")).drop("s")
+
+
+def in_blocks(reps: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Groups' windows in pairs of blocks (i, j)."""
+    return (
+        reps.join(sizes.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key")
         .withColumn("own", F.pmod(F.xxhash64("doc_id", "at"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "at", "to", "open", "context", "bare")
+        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *DEALT[3:])
     )
 
+
+def open_links(rows: DataFrame, least: int, percent: int) -> DataFrame:
+    """(doc_id, at, to, s) of open windows with partners of smaller ids in their groups; ``rows``: as ``contexts`` gives them."""
+    tokens = least - WIDTH + 1
+    sizes_of = lambda reps: cut(reps.groupBy("key").agg(F.count("*").alias("n"), F.max("open").alias("any")).filter("n > 1 AND any"))
+    equal, reps = by_context(rows)
+    sizes = sizes_of(reps)
+    dealt = in_blocks(reps, sizes.filter(f"n <= {BLOCK}"))
+    if not sizes.filter(f"n > {BLOCK}").isEmpty():
+        near, profiles = split(cut(reps.join(sizes.filter(f"n > {BLOCK}"), "key", "left_semi")), tokens)
+        more, first = by_context(profiles)
+        zero = [F.lit(0).alias(c) for c in ("i", "j", "own")]
+        # a profile group's key is the group's own; its windows are not in ``dealt``
+        dealt = dealt.unionByName(near.select("key", *zero, *DEALT[4:])).unionByName(in_blocks(first, sizes_of(first)))
+        equal = equal.unionByName(more)
+
     def run(g: dict) -> list | None:
-        a, b = partners(g, least - WIDTH + 1, percent)
+        a, b = partners(g, tokens, percent)
         return [*(pa.array(g[c][a]) for c in ("doc_id", "at", "to")), *(pa.array(g[c][b]) for c in ("doc_id", "at", "to"))] if len(a) else None
 
     more = map_groups(dealt, ["key", "i", "j"], run, "doc_id long, at long, to long, src long, src_at long, src_to long")
@@ -343,27 +518,29 @@ def verify(docs: DataFrame, found: DataFrame, least: int, percent: int) -> DataF
 
     Texts travel as they are, which compresses to less than their hashes would take.
     """
-    ids = cut(found.select(F.explode(F.array("doc_id", "src")).alias("doc_id")).distinct())
+    pairs = cut(found.groupBy("doc_id", "src").agg(F.collect_list(F.struct("lo", "hi", "src_lo", "src_hi")).alias("spans")))  # regions of two texts
+    ids = cut(pairs.select(F.explode(F.array("doc_id", "src")).alias("doc_id")).distinct())
     texts = docs.join(bounded_broadcast(ids, FEW_IDS), "doc_id", "left_semi")
-    mine = found.join(texts.withColumnRenamed("text", "a"), "doc_id")
+    mine = pairs.join(texts.withColumnRenamed("text", "a"), "doc_id")
     both = mine.join(texts.select(F.col("doc_id").alias("src"), F.col("text").alias("b")), "src")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(text_chunks(batches, "a"), "b"):
-            columns = [batch.column(c).to_pylist() for c in ("doc_id", "src", "lo", "hi", "src_lo", "src_hi")]
+            columns = [batch.column(c).to_pylist() for c in ("doc_id", "src", "spans")]
             pairs = [texts_of(batch, c) for c in ("a", "b")]
             place = {t: i for i, t in enumerate(dict.fromkeys([*pairs[0], *pairs[1]]))}
             hashes, first = _shingles(list(place))
             own = lambda t: hashes[first[place[t]] : first[place[t] + 1]]
             rows = []
-            for doc, src, lo, hi, src_lo, src_hi, ta, tb in zip(*columns, *pairs, strict=True):
-                for s, n, t, m, j in chains(own(ta)[lo : hi + 1], own(tb)[src_lo : src_hi + 1], least - WIDTH + 1, percent):
-                    rows.append((doc, lo + s, n + WIDTH - 1, src, src_lo + t, m + WIDTH - 1, j))
+            for doc, src, spans, ta, tb in zip(*columns, *pairs, strict=True):
+                for r in spans:
+                    for s, n, t, m, j in chains(own(ta)[r["lo"] : r["hi"] + 1], own(tb)[r["src_lo"] : r["src_hi"] + 1], least - WIDTH + 1, percent):
+                        rows.append((doc, r["lo"] + s, n + WIDTH - 1, src, r["src_lo"] + t, m + WIDTH - 1, j))
             if rows:
                 types = [pa.int64()] * 6 + [pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [f.split()[0] for f in PASSAGE_SCHEMA.split(", ")])
 
-    return both.select("doc_id", "src", "lo", "hi", "src_lo", "src_hi", "a", "b").mapInArrow(check, PASSAGE_SCHEMA)
+    return both.select("doc_id", "src", "spans", "a", "b").mapInArrow(check, PASSAGE_SCHEMA)
 
 
 def passages(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: int = LEAST, percent: int = 80) -> DataFrame:
