@@ -112,11 +112,11 @@ def _shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return shingle_hashes(words, starts, WIDTH, short=False)
 
 
-WINDOW_SCHEMA = "key long, doc_id long, at long, to long"
+WINDOW_SCHEMA = "key long, doc_id long, at long, ext long"
 
 
 def windows(docs: DataFrame, least: int) -> DataFrame:
-    """Compact windows of each text: key, doc_id, at = left << 32 | centre, to = right << 8 | function."""
+    """Compact windows of each text: key, doc_id, at = centre << 8 | function, ext = shingles left of it << 32 | right of it."""
     tokens = least - WIDTH + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +127,7 @@ def windows(docs: DataFrame, least: int) -> DataFrame:
             for f, seed in enumerate(SEEDS):
                 values = mix64(hashes ^ seed)
                 text, left, centre, right = compact_windows(values, first, tokens)
-                parts.append((values[first[text] + centre].view(np.int64), ids[text], left << 32 | centre, right << 8 | f))
+                parts.append((values[first[text] + centre].view(np.int64), ids[text], centre << 8 | f, (centre - left) << 32 | (right - centre)))
             columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
             if len(columns[0]):
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [f.split()[0] for f in WINDOW_SCHEMA.split(", ")])
@@ -135,31 +135,27 @@ def windows(docs: DataFrame, least: int) -> DataFrame:
     return docs.mapInArrow(run, WINDOW_SCHEMA)
 
 
+SIDE = "named_struct('src', doc_id, 'src_at', at, 'src_ext', ext)"
+
+
 def met(found: DataFrame) -> DataFrame:
     """The windows that share their key, with the first of its group, the one before and the group's size."""
     group = Window.partitionBy("key")
     by = group.orderBy("doc_id", "at")
-    side = F.struct(F.col("doc_id").alias("src"), F.col("at").alias("src_at"), F.col("to").alias("src_to"))
-    return found.withColumn("hub", F.first(side).over(by)).withColumn("prev", F.lag(side).over(by)).withColumn("size", F.count("*").over(group)).filter("size > 1")
+    return found.withColumn("hub", F.first(F.expr(SIDE)).over(by)).withColumn("prev", F.lag(F.expr(SIDE)).over(by)).withColumn("size", F.count("*").over(group)).filter("size > 1")
 
 
 def near_links(near: DataFrame) -> DataFrame:
-    """(doc_id, at, to, s) of each window with the first of its group and the one before."""
+    """(doc_id, at, ext, s) of each window with the first of its group and the one before."""
     links = F.filter(F.array_distinct(F.array("hub", "prev")), lambda s: s["src"].isNotNull() & (s["src"] != F.col("doc_id")))
-    return near.select("doc_id", "at", "to", F.explode(links).alias("s"))
+    return near.select("doc_id", "at", "ext", F.explode(links).alias("s"))
 
 
 def regions(links: DataFrame, agree: int = AGREE) -> DataFrame:
     """doc_id, src, lo, hi, src_lo, src_hi: regions of two texts where linked windows of ``agree`` functions overlap."""
-    pairs = links.select(
-        "doc_id",
-        F.col("s.src").alias("src"),
-        F.expr("shiftright(at, 32)").alias("l"),
-        F.expr("shiftright(to, 8)").alias("r"),
-        F.expr("shiftright(s.src_at, 32)").alias("sl"),
-        F.expr("shiftright(s.src_to, 8)").alias("sr"),
-        F.expr("shiftleft(1, cast(to & 255 AS int))").alias("f"),
-    )
+    bounds = lambda at, ext: (F.expr(f"shiftright({at}, 8) - shiftright({ext}, 32)"), F.expr(f"shiftright({at}, 8) + ({ext} & 4294967295)"))
+    (left, right), (src_left, src_right) = bounds("at", "ext"), bounds("s.src_at", "s.src_ext")
+    pairs = links.select("doc_id", F.col("s.src").alias("src"), left.alias("l"), right.alias("r"), src_left.alias("sl"), src_right.alias("sr"), F.expr("shiftleft(1, cast(at & 255 AS int))").alias("f"))
     # overlapping intervals of a pair, in order of their left ends, are one region
     order = Window.partitionBy("doc_id", "src").orderBy("l", "r", "sl")
     reached = F.max("r").over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -168,7 +164,7 @@ def regions(links: DataFrame, agree: int = AGREE) -> DataFrame:
     return joined.filter(F.bit_count("functions") >= agree).drop("region", "functions")
 
 
-CONTEXT_SCHEMA = "key long, doc_id long, at long, to long, same long, open boolean, mid int, context array<int>"
+CONTEXT_SCHEMA = "key long, doc_id long, at long, ext long, same long, open boolean, mid int, context array<int>"
 
 
 def contexts(docs: DataFrame, near: DataFrame, found: DataFrame, least: int) -> DataFrame:
@@ -178,7 +174,7 @@ def contexts(docs: DataFrame, near: DataFrame, found: DataFrame, least: int) ->
     covers it (bare); mid: the centre's place; open: whether any is bare.
     """
     tokens = least - WIDTH + 1
-    wanted = near.filter("size > 3").groupBy("doc_id").agg(F.collect_list(F.struct("key", "at", "to")).alias("w"))  # a text's own windows
+    wanted = near.filter("size > 3").groupBy("doc_id").agg(F.collect_list(F.struct("key", "at", "ext")).alias("w"))  # a text's own windows
     spans = found.groupBy("doc_id").agg(F.collect_set(F.struct("start", "n_words")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,15 +185,15 @@ def contexts(docs: DataFrame, near: DataFrame, found: DataFrame, least: int) ->
                 for p in covered or []:
                     bare[first[d] + p["start"] : min(first[d] + p["start"] + p["n_words"] - WIDTH + 1, first[d + 1])] = 0
             w = batch.column("w").flatten()
-            key, at, to = (w.field(c).to_numpy(zero_copy_only=False) for c in ("key", "at", "to"))
+            key, at, ext = (w.field(c).to_numpy(zero_copy_only=False) for c in ("key", "at", "ext"))
             d = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column("w")).to_numpy(zero_copy_only=False))
             # of rows that share an id, each knows its own windows by their minima
-            mine = first[d] + (to >> 8) < first[d + 1]
-            mine[mine] = mix64(hashes[first[d[mine]] + (at[mine] & 0xFFFFFFFF)] ^ SEEDS[to[mine] & 255]).view(np.int64) == key[mine]
-            key, at, to, d = key[mine], at[mine], to[mine], d[mine]
+            mine = first[d] + (at >> 8) + (ext & 0xFFFFFFFF) < first[d + 1]
+            mine[mine] = mix64(hashes[first[d[mine]] + (at[mine] >> 8)] ^ SEEDS[at[mine] & 255]).view(np.int64) == key[mine]
+            key, at, ext, d = key[mine], at[mine], ext[mine], d[mine]
             doc = batch.column("doc_id").to_numpy(zero_copy_only=False)[d]
-            centre = first[d] + (at & 0xFFFFFFFF)
-            lo, hi = np.maximum(first[d] + (at >> 32), centre - tokens + 1), np.minimum(first[d] + (to >> 8), centre + tokens - 1) + 1
+            centre = first[d] + (at >> 8)
+            lo, hi = centre - np.minimum(ext >> 32, tokens - 1), centre + np.minimum(ext & 0xFFFFFFFF, tokens - 1) + 1
             # prefix sums of hashes, plain and by place, tell equal stretches
             mixed, place = mix64(hashes), np.arange(len(hashes), dtype=np.uint64)
             with np.errstate(over="ignore"):
@@ -212,7 +208,7 @@ def contexts(docs: DataFrame, near: DataFrame, found: DataFrame, least: int) ->
                 ends = np.cumsum(n)
                 values = small[np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(lo[part], n)]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values))
-                columns = [key[part], doc[part], at[part], to[part], same[part], bares[hi[part]] > bares[lo[part]], (centre - lo)[part].astype(np.int32)]
+                columns = [key[part], doc[part], at[part], ext[part], same[part], bares[hi[part]] > bares[lo[part]], (centre - lo)[part].astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns), lists], [f.split()[0] for f in CONTEXT_SCHEMA.split(", ")])
 
     return docs.join(wanted, "doc_id").join(spans, "doc_id", "left").select("doc_id", "text", "w", "spans").mapInArrow(run, CONTEXT_SCHEMA)
@@ -304,7 +300,7 @@ def may_hold(shared: np.ndarray, at: np.ndarray, left: np.ndarray, tokens: int,
 def partners(g: dict, tokens: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(window, partner) rows of a group: the partners of smaller ids, verified on the contexts, that cover a window's bare shingles."""
     packed, first = g["context"]
-    values, bare = packed >> 1, (packed & 1).astype(bool)
+    values, bare = packed >> 1 & 0x7FFFFFFF, (packed & 1).astype(bool)
     doc, n = g["doc_id"], len(g["doc_id"])
     distinct, ids, counts = np.unique(values, return_inverse=True, return_counts=True)
     place = np.full(len(distinct), -1)
@@ -359,28 +355,78 @@ def partners(g: dict, tokens: int, percent: int) -> tuple[np.ndarray, np.ndarray
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
+def equal_ones(g: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a group: windows with the first one of equal context (rows, rows), and which rows stand for their context."""
+    order = np.lexsort((g["at"], g["doc_id"], g["same"]))
+    same = g["same"][order]
+    start = np.flatnonzero(np.concatenate([[True], same[1:] != same[:-1]]))
+    first = np.empty(len(order), np.int64)
+    first[order] = np.repeat(order[start], np.diff(np.concatenate([start, [len(order)]])))
+    stands = g["doc_id"] == g["doc_id"][first]
+    rows = np.flatnonzero(~stands & g["open"])
+    return rows, first[rows], np.flatnonzero(stands)
+
+
+def taken(g: dict, rows: np.ndarray) -> dict:
+    """Those rows of a group."""
+    values, first = g["context"]
+    n = first[rows + 1] - first[rows]
+    ends = np.cumsum(n)
+    at = np.arange(n.sum()) - np.repeat(ends - n, n) + np.repeat(first[rows], n)
+    return {c: v[rows] for c, v in g.items() if c != "context"} | {"context": (values[at], np.concatenate([[0], ends]))}
+
+
+DEALT = ["key", "i", "j", "own", "doc_id", "at", "ext", "same", "open", "mid", "context"]
+
+
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """Groups with an open window in pairs of blocks (i, j) of at most ``BLOCK`` windows each, about."""
+    sizes = cut(rows.groupBy("key").agg(F.count("*").alias("n"), F.max("open").alias("any")).filter("n > 1 AND any").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    return (
+        rows.join(sizes, "key")
+        .withColumn("own", F.pmod(F.xxhash64("doc_id", "at"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *DEALT[3:])
+    )
+
+
+def by_context(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links of windows to the first one of equal context in their group, and those first ones."""
+    ranked = cut(rows.withColumn("s", F.first(F.expr(SIDE)).over(Window.partitionBy("key", "same").orderBy("doc_id", "at"))))
+    equal = ranked.filter(F.col("open") & (F.col("s.src") != F.col("doc_id"))).select("doc_id", "at", "ext", "s")
+    return equal, ranked.filter(F.col("s.src") == F.col("doc_id")).drop("s")
+
+
 def split(large: DataFrame, tokens: int) -> tuple[DataFrame, DataFrame]:
-    """Windows of groups over ``BLOCK``: those that share a rare shingle near their centres, in smaller groups, and their profiles of frequent shingles alone.
+    """Windows of groups over ``BLOCK``: those that share a rare shingle near their centres, in groups of their own, and those with frequent ones over a passage's length.
 
-    Frequent in a group is what over ``BLOCK`` of its windows hold, so the groups by a rare
-    shingle are bounded, and what is shared by frequent shingles alone is decided among the
-    distinct profiles that reach over a passage's length.
+    A group is looked at in parts of about ``BLOCK`` windows.  Frequent is what over
+    ``BLOCK`` / parts windows of a part hold, so a rare shingle stands in ``BLOCK`` windows
+    about.  What is shared by frequent shingles alone is decided among the distinct
+    profiles of them.  Groups by rare shingles that have the same windows are one.
     """
-    shingles = large.select("key", F.explode(F.array_distinct(F.transform("context", lambda x: F.shiftright(x, 1)))).alias("h"))
-    frequent = cut(shingles.groupBy("key", "h").count().filter(F.col("count") > BLOCK).groupBy("key").agg(F.collect_list("h").alias("frequent")))
-    told = cut(large.join(frequent, "key", "left"))
+    sizes = cut(large.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")))
+    parted = large.join(sizes, "key").select("key", F.pmod(F.xxhash64("at", "doc_id"), F.col("parts")).cast("int").alias("part"), "parts", "context")
+
+    def frequent_of(g: dict) -> list | None:
+        packed, first = g["context"]
+        pair = np.unique(np.repeat(np.arange(len(first) - 1), np.diff(first)) << 31 | packed.astype(np.int64) >> 1 & 0x7FFFFFFF)
+        values, counts = np.unique(pair & 0x7FFFFFFF, return_counts=True)
+        values = values[counts > max(BLOCK // int(g["parts"][0]), 1)]
+        return [pa.array(np.full(len(values), g["key"][0])), pa.array(values.astype(np.int32))] if len(values) else None
+
+    frequent = map_groups(parted, ["key", "part"], frequent_of, "key long, h int")
+    told = cut(large.join(frequent.groupBy("key").agg(F.collect_set("h").alias("frequent")), "key", "left"))  # a group's frequent shingles: some of each part
 
     def masks(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         lists = batch.column("context")
         packed = lists.flatten().to_numpy(zero_copy_only=False)
         first = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
-        key = batch.column("key").to_numpy(zero_copy_only=False)
+        key = np.repeat(batch.column("key").to_numpy(zero_copy_only=False), np.diff(first))
         hot = np.zeros(len(packed), bool)
-        for k in np.unique(key).tolist():  # rows of a key lie together
-            rows = np.flatnonzero(key == k)
-            known = batch.column("frequent")[int(rows[0])].as_py() or []
-            for r in rows.tolist():
-                hot[first[r] : first[r + 1]] = np.isin(packed[first[r] : first[r + 1]] >> 1, known)
+        for k, r in zip(*np.unique(batch.column("key").to_numpy(zero_copy_only=False), return_index=True), strict=True):
+            mine = np.flatnonzero(key == k)
+            hot[mine] = np.isin(packed[mine] >> 1 & 0x7FFFFFFF, batch.column("frequent")[int(r)].as_py() or [])
         return packed, first, hot
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,8 +436,9 @@ def split(large: DataFrame, tokens: int) -> tuple[DataFrame, DataFrame]:
                 at, side = beside(~hot, first, batch.column("mid").to_numpy(zero_copy_only=False))
                 row = np.repeat(np.arange(batch.num_rows), np.diff(first))[at]
                 key = batch.column("key").to_numpy(zero_copy_only=False)[row]
-                sub = mix64(key.view(np.uint64) ^ mix64((packed[at] >> 1).astype(np.int64).view(np.uint64) * np.uint64(2) + side.astype(np.uint64))).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(sub), *(batch.column(c).take(pa.array(row)) for c in ("key", "doc_id", "at", "to", "open"))], ["sub", "key", "doc_id", "at", "to", "open"])
+                sub = mix64(key.view(np.uint64) ^ mix64((packed[at] >> 1 & 0x7FFFFFFF).astype(np.uint64) * np.uint64(2) + side.astype(np.uint64))).view(np.int64)
+                _, once = np.unique(np.stack([sub, row]), axis=1, return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(sub[once]), *(batch.column(c).take(pa.array(row[once])) for c in ("key", "doc_id", "at", "open"))], ["sub", "key", "doc_id", "at", "open"])
 
     def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -410,54 +457,40 @@ def split(large: DataFrame, tokens: int) -> tuple[DataFrame, DataFrame]:
                 made = made.set_column(4, "same", pa.array(same.view(np.int64))).set_column(5, "open", pa.array(open_))
                 yield made.filter(keep)
 
-    marks = cut(told.mapInArrow(rare, "sub long, key long, doc_id long, at long, to long, open boolean").distinct())
-    several = marks.groupBy("sub").agg(F.count("*").alias("n"), F.max("open").alias("any")).filter("n > 1 AND any").select("sub")
-    near = marks.join(several, "sub").drop("open").join(large, ["key", "doc_id", "at", "to"]).drop("key").withColumnRenamed("sub", "key")
+    marks = cut(told.mapInArrow(rare, "sub long, key long, doc_id long, at long, open boolean"))
+    several = marks.groupBy("sub").agg(F.count("*").alias("n"), F.max("open").alias("any"), F.sum(F.xxhash64("key", "doc_id", "at").cast("decimal(38,0)")).alias("who")).filter("n > 1 AND any")
+    several = several.groupBy("n", "who").agg(F.min("sub").alias("sub"))
+    near = marks.join(several.select("sub"), "sub").drop("open").join(large, ["key", "doc_id", "at"]).drop("key").withColumnRenamed("sub", "key")
     return near, told.mapInArrow(profiles, CONTEXT_SCHEMA)
 
 
-SIDE = "named_struct('src', doc_id, 'src_at', at, 'src_to', to)"
-DEALT = ["key", "i", "j", "own", "doc_id", "at", "to", "open", "mid", "context"]
-
-
-def by_context(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links of windows to the first one of equal context in their group, and those first ones."""
-    ranked = cut(rows.withColumn("s", F.first(F.expr(SIDE)).over(Window.partitionBy("key", "same").orderBy("doc_id", "at"))))
-    equal = ranked.filter(F.col("open") & (F.col("s.src") != F.col("doc_id"))).select("doc_id", "at", "to", "s")
-    return equal, ranked.filter(F.col("s.src") == F.col("doc_id")).drop("s")
-
-
-def in_blocks(reps: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Groups' windows in pairs of blocks (i, j)."""
-    return (
-        reps.join(sizes.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key")
-        .withColumn("own", F.pmod(F.xxhash64("doc_id", "at"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *DEALT[3:])
-    )
-
-
 def open_links(rows: DataFrame, least: int, percent: int) -> DataFrame:
-    """(doc_id, at, to, s) of open windows with partners of smaller ids in their groups; ``rows``: as ``contexts`` gives them."""
+    """(doc_id, at, ext, s) of open windows with partners of smaller ids in their groups; ``rows``: as ``contexts`` gives them."""
     tokens = least - WIDTH + 1
-    sizes_of = lambda reps: cut(reps.groupBy("key").agg(F.count("*").alias("n"), F.max("open").alias("any")).filter("n > 1 AND any"))
-    equal, reps = by_context(rows)
-    sizes = sizes_of(reps)
-    dealt = in_blocks(reps, sizes.filter(f"n <= {BLOCK}"))
-    if not sizes.filter(f"n > {BLOCK}").isEmpty():
-        near, profiles = split(cut(reps.join(sizes.filter(f"n > {BLOCK}"), "key", "left_semi")), tokens)
+    rows = cut(rows)
+    big = cut(rows.groupBy("key").agg(F.count("*").alias("n"), F.max("open").alias("any")).filter(f"n > {BLOCK} AND any").select("key"))
+    links = []
+    if not big.isEmpty():
+        equal, reps = by_context(rows.join(big, "key", "left_semi"))
+        near, profiles = split(cut(reps), tokens)
         more, first = by_context(profiles)
-        zero = [F.lit(0).alias(c) for c in ("i", "j", "own")]
-        # a profile group's key is the group's own; its windows are not in ``dealt``
-        dealt = dealt.unionByName(near.select("key", *zero, *DEALT[4:])).unionByName(in_blocks(first, sizes_of(first)))
-        equal = equal.unionByName(more)
+        links = [equal, more]
+        dealt = in_blocks(rows.join(big, "key", "left_anti").unionByName(near)).unionByName(in_blocks(first))
+    else:
+        dealt = in_blocks(rows)
 
     def run(g: dict) -> list | None:
-        a, b = partners(g, tokens, percent)
-        return [*(pa.array(g[c][a]) for c in ("doc_id", "at", "to")), *(pa.array(g[c][b]) for c in ("doc_id", "at", "to"))] if len(a) else None
+        u, v, stand = equal_ones(g)
+        if g["i"][0] != g["j"][0]:
+            u, v, stand = u[:0], v[:0], np.arange(len(g["own"]))
+        a, b = partners(taken(g, stand), tokens, percent)
+        a, b = np.concatenate([u, stand[a]]), np.concatenate([v, stand[b]])
+        return [*(pa.array(g[c][a]) for c in ("doc_id", "at", "ext")), *(pa.array(g[c][b]) for c in ("doc_id", "at", "ext"))] if len(a) else None
 
-    more = map_groups(dealt, ["key", "i", "j"], run, "doc_id long, at long, to long, src long, src_at long, src_to long")
-    return equal.unionByName(more.select("doc_id", "at", "to", F.struct("src", "src_at", "src_to").alias("s")))
+    found = map_groups(dealt, ["key", "i", "j"], run, "doc_id long, at long, ext long, src long, src_at long, src_ext long").select("doc_id", "at", "ext", F.struct("src", "src_at", "src_ext").alias("s"))
+    for more in links:
+        found = found.unionByName(more)
+    return found
 
 
 def chains(a: np.ndarray, b: np.ndarray, least: int, percent: int) -> list[tuple[int, int, int, int, float]]:
@@ -514,33 +547,44 @@ PASSAGE_SCHEMA = "doc_id long, start long, n_words long, src_doc_id long, src_st
 
 
 def verify(docs: DataFrame, found: DataFrame, least: int, percent: int) -> DataFrame:
-    """Passages of the regions that hold on the full texts.
+    """Passages of the regions that hold on the texts.
 
-    Texts travel as they are, which compresses to less than their hashes would take.
+    A region's words travel, not the texts: each text is cut where it lies, and both
+    sides of a region meet by its number.
     """
-    pairs = cut(found.groupBy("doc_id", "src").agg(F.collect_list(F.struct("lo", "hi", "src_lo", "src_hi")).alias("spans")))  # regions of two texts
-    ids = cut(pairs.select(F.explode(F.array("doc_id", "src")).alias("doc_id")).distinct())
-    texts = docs.join(bounded_broadcast(ids, FEW_IDS), "doc_id", "left_semi")
-    mine = pairs.join(texts.withColumnRenamed("text", "a"), "doc_id")
-    both = mine.join(texts.select(F.col("doc_id").alias("src"), F.col("text").alias("b")), "src")
+    numbered = cut(found.withColumn("region", F.monotonically_increasing_id()))
+    sides = numbered.select("doc_id", "region", F.lit(True).alias("mine"), "lo", "hi").unionByName(numbered.select(F.col("src").alias("doc_id"), "region", F.lit(False).alias("mine"), F.col("src_lo").alias("lo"), F.col("src_hi").alias("hi")))
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_chunks(batches, "text"):
+            texts = texts_of(batch, "text")
+            split: dict[bytes, list[bytes]] = {}
+            lo, hi = batch.column("lo").to_pylist(), batch.column("hi").to_pylist()
+            out = []
+            for t, a, b in zip(texts, lo, hi, strict=True):
+                if t not in split:
+                    split[t] = t.split()
+                out.append(b" ".join(split[t][a : b + WIDTH]))
+            yield pa.RecordBatch.from_arrays([batch.column("region"), batch.column("mine"), pa.array(out, pa.binary())], ["region", "mine", "words"])
+
+    met = docs.join(bounded_broadcast(sides, FEW_IDS), "doc_id").select("text", "region", "mine", "lo", "hi")
+    sliced = met.mapInArrow(slices, "region long, mine boolean, words binary")
+    mine, theirs = sliced.filter("mine").select("region", F.col("words").alias("a")), sliced.filter("NOT mine").select("region", F.col("words").alias("b"))
+    both = mine.join(theirs, "region").join(numbered, "region")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(text_chunks(batches, "a"), "b"):
-            columns = [batch.column(c).to_pylist() for c in ("doc_id", "src", "spans")]
-            pairs = [texts_of(batch, c) for c in ("a", "b")]
-            place = {t: i for i, t in enumerate(dict.fromkeys([*pairs[0], *pairs[1]]))}
-            hashes, first = _shingles(list(place))
-            own = lambda t: hashes[first[place[t]] : first[place[t] + 1]]
+            hashes, first = _shingles([*texts_of(batch, "a"), *texts_of(batch, "b")])
+            own = lambda k: hashes[first[k] : first[k + 1]]
             rows = []
-            for doc, src, spans, ta, tb in zip(*columns, *pairs, strict=True):
-                for r in spans:
-                    for s, n, t, m, j in chains(own(ta)[r["lo"] : r["hi"] + 1], own(tb)[r["src_lo"] : r["src_hi"] + 1], least - WIDTH + 1, percent):
-                        rows.append((doc, r["lo"] + s, n + WIDTH - 1, src, r["src_lo"] + t, m + WIDTH - 1, j))
+            for k, (doc, src, lo, src_lo) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "src", "lo", "src_lo")), strict=True)):
+                for s, n, t, m, j in chains(own(k), own(batch.num_rows + k), least - WIDTH + 1, percent):
+                    rows.append((doc, lo + s, n + WIDTH - 1, src, src_lo + t, m + WIDTH - 1, j))
             if rows:
                 types = [pa.int64()] * 6 + [pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [f.split()[0] for f in PASSAGE_SCHEMA.split(", ")])
 
-    return both.select("doc_id", "src", "spans", "a", "b").mapInArrow(check, PASSAGE_SCHEMA)
+    return both.select("doc_id", "src", "lo", "src_lo", "a", "b").mapInArrow(check, PASSAGE_SCHEMA)
 
 
 def passages(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: int = LEAST, percent: int = 80) -> DataFrame:
@@ -571,8 +615,8 @@ def _passages(texts: DataFrame, least: int, percent: int) -> DataFrame:
     with scratch(texts.sparkSession) as step:
         open_ = step.keep(regions(cut(open_links(contexts(rest, groups, near, least), least, percent)), 1))
     near = near.unionByName(verify(rest, open_, least, percent))
-    whole = texts.select("doc_id", words.cast("long").alias("n"), (F.col("text").rlike(r"^[\x20\x09-\x0D]").cast("int") + F.col("text").rlike(r"[\x20\x09-\x0D]\z").cast("int")).alias("ends"))
-    whole = whole.join(bounded_broadcast(copies, FEW_IDS), "doc_id").withColumn("n", F.col("n") - F.col("ends")).filter(F.col("n") >= least)
+    whole = texts.join(bounded_broadcast(copies, FEW_IDS), "doc_id").select("doc_id", "rep", words.cast("long").alias("n"), (F.col("text").rlike(r"^[\x20\x09-\x0D]").cast("int") + F.col("text").rlike(r"[\x20\x09-\x0D]\z").cast("int")).alias("ends"))
+    whole = whole.withColumn("n", F.col("n") - F.col("ends")).filter(F.col("n") >= least)
     whole = whole.select("doc_id", F.lit(0).cast("long").alias("start"), F.col("n").alias("n_words"), F.col("rep").alias("src_doc_id"), F.lit(0).cast("long").alias("src_start"), F.col("n").alias("src_n_words"), F.lit(1.0).alias("similarity"))
     return near.unionByName(whole).distinct()
 
