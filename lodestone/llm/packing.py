@@ -11,9 +11,11 @@ All of it happens in one pass over the input partitions: no shuffle, and a task
 holds one group of pieces at a time, whatever the size of its documents' source.
 A retried task reads the same split in the same order and so gives the same rows.
 
-Defined results: null or empty text gives the closing id alone; repeated rows (and
-repeated or null ids) are packed each for itself; an empty table gives no rows;
-other columns are ignored.
+Defined results: null or empty text gives the closing id alone; control strings in a text
+get the ids that the library gives them; a text of any length is cut into full windows
+and one rest; pieces of equal length go in the order of the input, and of sequences with
+equal cost the first takes the piece; repeated rows (and repeated or null ids) are packed
+each for itself; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,7 +51,8 @@ class ChunkIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # control strings in a text are ordinary text
+        #: The vocabulary's control strings: the library gives their ids wherever a text holds them.
+        self.control = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def __missing__(self, chunk: bytes) -> bytes:
         """Case and one closing stop are taken off first where that can't change the ids, so that fewer words are encoded.
@@ -57,7 +60,10 @@ class ChunkIds(dict):
         The normaliser lower-cases, and a stop behind a letter is a match of its own.
         """
         text = chunk.decode("utf-8", "replace")
-        if (low := chunk.lower()) != chunk and is_normalized("NFC", text):
+        low = chunk.lower()
+        if any(c in low for c in self.control):  # told by their exact letters, before the normaliser
+            out = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        elif low != chunk and is_normalized("NFC", text):
             out = self[low]
         elif len(chunk) > 1 and chunk[-1] in b".," and text[-2].lower().isalpha():
             out = self[chunk[:-1]] + self[chunk[-1:]]
