@@ -4,21 +4,22 @@ Texts are cut by the vocabulary's pattern.  Matches not seen before are grouped
 length into padded integer matrices, one match a row; each round looks up the rank
 of every neighbouring pair in an open-addressing hash table, merges each row's
 leftmost pair of minimum rank, and compacts the rows.  Rows that are done leave the
-matrix.  Long matches (over ``LONG`` bytes) are merged one by one in the same way,
-except that all occurrences of the minimum pair merge in one round where no merge
-can open a pair of lower rank, which gives the same ids in fewer rounds.
+matrix.  A matrix takes as many rounds as a match has merges, so matches over ``LONG``
+bytes do the same merges in the same order by a heap, in time n log n.
 
 Both directions are row-local Arrow functions: no shuffle, and memory follows the
 batch's bytes.
 
-Defined results: null or empty text gives no ids, and no ids give empty bytes;
-decoding gives back the UTF-8 bytes of the text; other columns and their names are
+Defined results: null or empty text gives no ids, and no ids give empty bytes; of equal
+ranks the leftmost pair merges first; a match of any length is encoded whole; repeated
+rows are encoded each for itself, and an empty table gives no rows; decoding gives back the UTF-8 bytes of the text; other columns and their names are
 left alone, and a clash with the result's name is an error of the caller's alias.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -132,32 +133,27 @@ class Vocabulary:
         return out
 
     def long_match(self, match: bytes) -> np.ndarray:
-        ids = self.single[np.frombuffer(match, np.uint8)]
-        rank = self.pairs.find(ids[:-1], ids[1:])
-        while len(ids) > 1:
-            best = rank.min()
-            if best == NONE:
-                break
-            at = np.flatnonzero(rank == best)
-            if len(at) > 1:  # left to right without overlap: in each run of neighbours every other one
-                run = np.cumsum(np.concatenate([[0], np.diff(at) != 1]))
-                start = np.flatnonzero(np.concatenate([[True], np.diff(run) != 0]))
-                at = at[(np.arange(len(at)) - start[run]) % 2 == 0]
-            merged = self.apply(ids, at, best)
-            after = self.pairs.find(merged[:-1], merged[1:])
-            if len(at) > 1 and len(after) and after.min() < best:
-                merged = self.apply(ids, at[:1], best)
-                after = self.pairs.find(merged[:-1], merged[1:])
-            ids, rank = merged, after
-        return ids
-
-    @staticmethod
-    def apply(ids: np.ndarray, at: np.ndarray, best: int) -> np.ndarray:
-        out = ids.copy()
-        out[at] = best
-        keep = np.ones(len(ids), bool)
-        keep[at + 1] = False
-        return out[keep]
+        """The same merges by a heap of (rank, place) over linked places."""
+        parts = [match[k : k + 1] for k in range(len(match))]
+        n = len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        rank = self.ranks.get
+        heap = [(r, k) for k in range(n - 1) if (r := rank(match[k : k + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, k = heapq.heappop(heap)
+            right = after[k] if parts[k] else n
+            if right >= n or rank(parts[k] + parts[right]) != r:
+                continue  # one of its sides has been merged since
+            parts[k] += parts[right]
+            parts[right] = b""
+            after[k] = after[right]
+            if after[k] < n:
+                before[after[k]] = k
+            for left in (before[k], k):
+                if left >= 0 and after[left] < n and (r := rank(parts[left] + parts[after[left]])) is not None:
+                    heapq.heappush(heap, (r, left))
+        return np.array([self.ranks[x] for x in parts if x], np.int64)
 
     def learn(self, matches: set[str]) -> None:
         """Encode the matches that aren't known yet."""

@@ -20,9 +20,7 @@ WORDS, BYTES = tokenizer_path("word_bpe_49k.json"), tokenizer_path("byte_bpe_50k
 def word_bpe():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(WORDS)
 
 
 @pytest.fixture(scope="module")
@@ -43,7 +41,7 @@ def noise(r, n):
 
 def test_chunk_ids_are_the_librarys(word_bpe):
     r, known = random.Random(1), packing.ChunkIds(WORDS)
-    for text in ["", "don't STOP... İ,x. <|endoftext|> KK,", *(noise(r, r.randint(1, 40)) for _ in range(3000))]:
+    for text in ["", "hello <|startoftext|> x", "a<|endoftext|>b. <|ENDOFTEXT|>C <|StartOfText|>. x<|startoftext|>.", "don't STOP... İ,x. <|endoftext|> KK,", *(noise(r, r.randint(1, 40)) for _ in range(3000))]:
         assert np.frombuffer(known.encode(text.encode()), "<u4").tolist() == word_bpe.encode(text, add_special_tokens=False).ids, text
 
 
@@ -118,6 +116,20 @@ def test_byte_bpe_is_the_librarys(byte_bpe_library):
         assert v.decode(ids) == text.encode()
 
 
+def test_byte_bpe_of_overlapping_merges(tmp_path):
+    import tiktoken
+
+    ranks = {bytes([b]): b for b in range(256)} | {b"aba": 256, b"ab": 257, b"bab": 258, b"abab": 259}
+    path = tmp_path / "ranks"
+    path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % r for t, r in ranks.items()))
+    v, library = byte_bpe.Vocabulary(str(path), r"[ab]+"), tiktoken.Encoding("tiny", pat_str=r"[ab]+", mergeable_ranks=ranks, special_tokens={})
+    r = random.Random(4)
+    for n in [*range(1, 40), byte_bpe.LONG - 1, byte_bpe.LONG, byte_bpe.LONG + 1, 1000]:
+        for text in ("ab" * n, "".join(r.choice("ab") for _ in range(n))):
+            want = library.encode_ordinary(text)
+            assert v.matrix([text.encode()])[0].tolist() == want and v.long_match(text.encode()).tolist() == want
+
+
 def test_byte_bpe_round_trip_of_edges(spark, frame, byte_bpe_library):
     import public_tokenizers
 
