@@ -13,7 +13,8 @@ words is the union of [p, p + that lcp).  The rule limits the fraction of words
 covered and the longest repeat.
 
 Defined results: null and empty texts have no words, fail the base rule and have no
-repeats; repeated rows are judged each for itself; tables without rows give none; only
+repeats; a text is judged whole whatever its length, in about 4 bytes a word and doubling;
+repeated rows are judged each for itself; of equal repeats each counts; tables without rows give none; only
 the two named columns are read.
 """
 
@@ -35,7 +36,7 @@ MIN_WORDS = 10
 MAX_COVERED, MAX_LONGEST, MAX_LONGEST_SHARE = 30, 100, 20
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered_words", "longest_repeat", "n_maximal_repeats"]
-SCHEMA = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS)
+SCHEMA = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, kept boolean"
 SPACES, SYMBOLS = (b" ", b"\t", b"\n", b"\v", b"\f", b"\r"), tuple(bytes([c]) for c in b"#*$%&|<>")
 
 
@@ -57,7 +58,8 @@ def suffix_array(words: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.nda
     key = own * (int(words.max(initial=0)) + 1) + words
     order = np.argsort(key, kind="stable")
     rank = dense(key, order)
-    levels.append(rank)
+    small = np.int32 if n < 2**31 else np.int64
+    levels.append(rank.astype(small))
     size = np.bincount(rank, minlength=1)
     last_of = np.searchsorted(own, own, side="right")  # first position behind the text
     span, open_ = 1, np.flatnonzero(size[rank] > 1)
@@ -81,7 +83,7 @@ def suffix_array(words: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.nda
             sorted_rank = first[sorted_rank]
         rank = rank.copy()
         rank[open_[by]] = sorted_rank + sub_start - group_start
-        levels.append(rank)
+        levels.append(rank.astype(small))
         count = np.diff(np.concatenate([np.flatnonzero(new_pair), [len(by)]]))
         open_ = np.sort(open_[by[np.repeat(count, count) > 1]])
         span *= 2
@@ -183,17 +185,12 @@ def counts_of(texts: list[bytes], least: int) -> list[np.ndarray]:
     return [np.asarray(c, np.int64) for c in (np.diff(starts), n_chars, symbols, dup, *repeats(codes, starts, least))]
 
 
-def measure(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    for batch in text_chunks(batches, "text"):
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, counts_of(texts_of(batch, "text"), least))], ["doc_id", *COUNTS])
-
-
-def verdict(max_covered: int = MAX_COVERED, max_longest: int = MAX_LONGEST, max_longest_share: int = MAX_LONGEST_SHARE) -> tuple[str, str]:
-    """SQL of the base rule's and of the method's rejection."""
-    return (
-        "n_words < 50 OR 100 * n_repeat_words > 50 * n_words",
-        f"100 * n_covered_words > {max_covered} * n_words OR (longest_repeat > {max_longest} AND 100 * longest_repeat > {max_longest_share} * n_words)",
-    )
+def verdict(n: dict[str, np.ndarray], max_covered: int, max_longest: int, max_longest_share: int) -> tuple[np.ndarray, np.ndarray]:
+    """The base rule's failures, and what is kept, from the columns of COUNTS."""
+    words = n["n_words"]
+    failed = (words < 50) | (100 * n["n_repeat_words"] > 50 * words)
+    bad = (100 * n["n_covered_words"] > max_covered * words) | ((n["longest_repeat"] > max_longest) & (100 * n["longest_repeat"] > max_longest_share * words))
+    return failed, ~(failed | bad)
 
 
 def judge(
@@ -212,22 +209,31 @@ def judge(
     ``max_longest_share`` hundredths of the text.
     """
     small_batches(docs.sparkSession)
-    counts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(lambda it: measure(it, min_words), SCHEMA)
-    failed, bad = map(F.expr, verdict(max_covered, max_longest, max_longest_share))
-    return counts.withColumn("base_failed", failed).withColumn("kept", ~failed & ~bad)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_chunks(batches, "text"):
+            n = dict(zip(COUNTS, counts_of(texts_of(batch, "text"), min_words), strict=True))
+            made = [*n.values(), *verdict(n, max_covered, max_longest, max_longest_share)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, made)], ["doc_id", *COUNTS, "base_failed", "kept"])
+
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
-def keep(docs: DataFrame, text_column: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def keep(
+    docs: DataFrame,
+    text_column: str = "text",
+    min_words: int = MIN_WORDS,
+    max_covered: int = MAX_COVERED,
+    max_longest: int = MAX_LONGEST,
+    max_longest_share: int = MAX_LONGEST_SHARE,
+) -> DataFrame:
     """The rows of ``docs`` that base rule and verdict keep, in one pass with no join: rows are measured and dropped in place."""
     small_batches(docs.sparkSession)
     schema = docs.schema
-    text = F.col(text_column).cast("string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches, "__text"):
             n = dict(zip(COUNTS, counts_of(texts_of(batch, "__text"), min_words), strict=True))
-            failed = (n["n_words"] < 50) | (100 * n["n_repeat_words"] > 50 * n["n_words"])
-            bad = (100 * n["n_covered_words"] > MAX_COVERED * n["n_words"]) | ((n["longest_repeat"] > MAX_LONGEST) & (100 * n["longest_repeat"] > MAX_LONGEST_SHARE * n["n_words"]))
-            yield batch.select(schema.names).filter(pa.array(~(failed | bad)))
+            yield batch.select(schema.names).filter(pa.array(verdict(n, max_covered, max_longest, max_longest_share)[1]))
 
-    return docs.withColumn("__text", text).mapInArrow(run, schema)
+    return docs.withColumn("__text", F.col(text_column).cast("string")).mapInArrow(run, schema)
