@@ -7,14 +7,16 @@ shares most of its n-grams with the word it distorts.
 
 Training uses a bounded sample, ``MAX_TRAIN`` labelled rows of each class at most, in
 the order of a hash of the id: the ids are picked from the labels alone and joined to
-the texts by broadcast, so no text is shuffled.  Scoring is one pass over all texts
+the texts by broadcast, so only the sample's texts are shuffled, and of those at most
+``MAX_BYTES`` are learnt from, each whole.  Of texts that share an id the smallest counts.  Scoring is one pass over all texts
 with the n-grams' logits (half a megabyte) shipped to the workers.
 
 Defined results: null and empty texts have the mean vector 0 and so the score of the
 intercept; texts whose id is null aren't learnt from; labels other than 0 and 1, and
 null ones, are left out; where ids repeat in the labels the larger label counts;
 without labels of both classes every score is the share of toxic labels (0 without
-any); repeated rows are scored each for itself; other columns are never read.
+any); a text of any length is scored whole; a score of exactly 0.5 is predicted 1;
+repeated rows are scored each for itself; other columns are never read.
 """
 
 from __future__ import annotations
@@ -26,13 +28,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import claim, small_batches, text_chunks, texts_of
 
 #: Bound of the training sample, by class.
 MAX_TRAIN = 2000
+#: Bytes of text of the sample.
+MAX_BYTES = 64 << 20
 BUCKETS, DIM, EPOCHS, RATE, BATCH, SCALE = 1 << 17, 8, 12, 0.15, 32, 30.0
 SHORTEST, LONGEST = 3, 6
 #: Sample texts that must have a bucket (fewer in small samples), and the decay of vectors a step.
@@ -92,16 +96,18 @@ def train(texts: list[bytes], labels: np.ndarray, prior: float, seed: int = 7) -
         if len(ids):
             frequency[np.unique(np.concatenate([grams[i] for i in ids]))] += 1
     used = frequency >= min(max(labels.sum() // 40, 2), LEAST_TEXTS)
-    grams = [g[used[g]] for g in grams]
+    place = np.cumsum(used) - 1  # buckets in use, numbered
+    grams = [place[g[used[g]]] for g in grams]
     known = np.array([len(g) > 0 for g in grams], bool)
-    bags = [(ids[known[ids]], share[known[ids]]) for ids, share in bags]
+    bags = [(ids[known[ids]], share[known[ids]].astype(np.float32)) for ids, share in bags]
     size = np.array([len(g) for g in grams], np.int64)
     start = np.concatenate([[0], np.cumsum(size)])
     flat = np.concatenate(grams) if grams else np.zeros(0, np.int64)
     rng = np.random.default_rng(seed)
-    vectors = (rng.normal(0, 0.1, (BUCKETS, DIM)) * used[:, None]).astype(np.float32)
+    m = int(used.sum())
+    vectors = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)[used]
     weights, bias = rng.normal(0, 0.1, (DIM, 2)), np.zeros(2)
-    seen, seen_w, seen_b = np.full((BUCKETS, DIM), 1e-6, np.float32), np.full((DIM, 2), 1e-6), np.full(2, 1e-6)
+    seen, seen_w, seen_b = np.full((m, DIM), 1e-6, np.float32), np.full((DIM, 2), 1e-6), np.full(2, 1e-6)
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS) + 0.01
         order = rng.permutation(len(bags))
@@ -112,12 +118,12 @@ def train(texts: list[bytes], labels: np.ndarray, prior: float, seed: int = 7) -
             doc = np.repeat(np.arange(len(docs)), [len(bags[d][0]) for d in docs])
             unique, back = np.unique(words, return_inverse=True)
             n = size[unique]
-            of = np.repeat(np.arange(len(unique)), n)
-            gram = flat[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[unique], n)]
+            ends = np.cumsum(n)
+            gram = flat[np.arange(n.sum()) + np.repeat(start[unique] - ends + n, n)]
             # documents x unique words, dense over the batch alone
-            bag = np.zeros((len(docs), len(unique)))
+            bag = np.zeros((len(docs), len(unique)), np.float32)
             bag[doc, back] = share_of
-            word = np.add.reduceat(vectors[gram], np.cumsum(n) - n, axis=0) / n[:, None] if len(gram) else np.zeros((0, DIM))
+            word = np.add.reduceat(vectors[gram], ends - n, axis=0) / n[:, None] if len(gram) else np.zeros((0, DIM))
             mean = bag @ word * SCALE
             logit = mean @ weights + bias
             p = np.exp(logit - logit.max(1, keepdims=True))
@@ -125,27 +131,32 @@ def train(texts: list[bytes], labels: np.ndarray, prior: float, seed: int = 7) -
             p[np.arange(len(docs)), labels[docs]] -= 1
             p /= len(docs)
             grad_w, grad_b = mean.T @ p, p.sum(0)
-            grad_word = (bag.T @ (p @ weights.T) * SCALE) / n[:, None]
-            spread = grad_word[of]
-            touched, where = np.unique(gram, return_inverse=True)
-            grad = DECAY * vectors[touched] + np.stack([np.bincount(where, spread[:, k], minlength=len(touched)) for k in range(DIM)], 1) if len(gram) else np.zeros((0, DIM))
-            seen[touched] += grad**2
-            vectors[touched] -= rate * grad / np.sqrt(seen[touched])
+            if len(gram):
+                # a word's gradient has rank one per class: two weighted counts of its n-grams give those of their vectors
+                side = bag.T @ p * SCALE / n[:, None]
+                spread = np.repeat(side, n, axis=0)
+                sums = np.stack([np.bincount(gram, spread[:, k], minlength=m) for k in range(2)], 1)
+                touched = np.flatnonzero(np.bincount(gram, minlength=m))
+                grad = DECAY * vectors[touched] + sums[touched] @ weights.T
+                seen[touched] += grad**2
+                vectors[touched] -= rate * grad / np.sqrt(seen[touched])
             seen_w += grad_w**2
             weights -= rate * grad_w / np.sqrt(seen_w)
             seen_b += grad_b**2
             bias -= rate * grad_b / np.sqrt(seen_b)
+    everywhere = np.zeros((BUCKETS, DIM), np.float32)
+    everywhere[used] = vectors
     prior = min(max(prior, 1e-6), 1 - 1e-6)
     # from the sample's share to half the prior's log odds: a missed toxic text costs more than a false alarm
     bias = bias + np.array([0.0, np.log(prior / (1 - prior)) / 2 - np.log(share / (1 - share))])
-    return Model(vectors, weights, bias, used)
+    return Model(everywhere, weights, bias, used)
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 5) -> F.Column:
     return F.expr(f"pmod(crc32(cast(cast({doc_id} AS string) AS binary)), {folds}) = 0")
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN, most_bytes: int = MAX_BYTES) -> Model:
     """Learn from the labelled rows outside the held-out fold; ``labels``: doc_id and toxic."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -155,8 +166,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
     order = [F.xxhash64("doc_id"), "doc_id"]
     sample = known.filter("toxic = 0").orderBy(*order).limit(most).unionByName(known.filter("toxic = 1").orderBy(*order).limit(most))
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = text.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic").collect()  # at most 2 * most ids
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
+    picked = text.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.coalesce(F.min("text"), F.lit("")).alias("text"))
+    so_far = F.sum(F.octet_length("text")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))  # over 2 * most rows at most
+    rows = picked.withColumn("before", F.coalesce(so_far, F.lit(0))).filter(F.col("before") + F.octet_length("text") <= most_bytes).select("doc_id", "text", "toxic").collect()
+    rows.sort(key=lambda r: r["doc_id"])
     return train([(r["text"] or "").encode("utf-8", "replace") for r in rows], np.array([r["toxic"] for r in rows]), counts.get(1, 0) / sum(counts.values()))
 
 
