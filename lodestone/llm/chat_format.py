@@ -4,8 +4,10 @@ A record comes as JSON.  The set of its nested field paths (arrays as ``[]``) is
 hashed; the hash selects a declarative mapping that says where turns, roles and texts
 are.  Mappings for message lists, share-style lists, prompt/response pairs,
 instruction/input/output and single message rows are built in, others can be added.
-An unknown fingerprint is looked for among mappings whose required paths it has, and
-otherwise the record becomes no turn but a row with the error and its fingerprint.
+An unknown fingerprint takes the mapping whose paths the record has, if one of them holds
+the paths of all others it has; otherwise (none, or messages beside a prompt) the record
+becomes no turn but a row with the error and its fingerprint.  Contents that are no
+strings become JSON, lists of text parts their texts.
 
 The template writes a turn as ``<|im_start|>role\\ntext<|im_end|>\\n``.  Control strings
 inside texts get a backslash behind their first character and backslashes are doubled,
@@ -16,7 +18,7 @@ conversation and sorted, and each conversation is folded in a stream: a task hol
 turn at a time, so a conversation of any length fits.
 
 Defined results: null texts and roles are empty; rows that tie in their turn go by
-role and text; repeated rows are turns each; a null conversation id is a conversation
+role and text as they were before escaping; a text of any length is one turn; repeated rows are turns each; a null conversation id is a conversation
 of its own; an empty table gives no conversation; other columns are ignored.
 """
 
@@ -67,22 +69,27 @@ class Mapping:
     ``each``: path of the list of turns ("" for a record that holds its turns in fields);
     ``turns``: (role, role path, text paths) for every turn of an item; a role path wins
     over the fixed role, several texts are joined by a blank line, absent ones are left out.
+    ``whole``: only for records without any other path.
     """
 
     name: str
     paths: frozenset[str]
     each: str
     turns: tuple[tuple[str, str, tuple[str, ...]], ...]
+    whole: bool = False
 
 
-def mapping(name: str, paths: str, each: str, *turns: tuple[str, str, tuple[str, ...]]) -> Mapping:
-    return Mapping(name, frozenset(paths.split()), each, turns)
+def mapping(name: str, paths: str, each: str, *turns: tuple[str, str, tuple[str, ...]], whole: bool = False) -> Mapping:
+    return Mapping(name, frozenset(paths.split()), each, turns, whole)
 
 
 # The known layouts.
 MAPPINGS = [
     mapping("message_row", "role text", "", ("user", "role", ("text",))),
     mapping("messages", "messages[].role messages[].content", "messages", ("user", "role", ("content",))),
+    mapping("message_parts", "messages[].role messages[].content[].type messages[].content[].text", "messages", ("user", "role", ("content",))),
+    mapping("prompt", "prompt", "", ("user", "", ("prompt",)), whole=True),
+    mapping("response", "response", "", ("assistant", "", ("response",)), whole=True),
     mapping("conversations", "conversations[].from conversations[].value", "conversations", ("user", "from", ("value",))),
     mapping("prompt_response", "prompt response", "", ("user", "", ("prompt",)), ("assistant", "", ("response",))),
     mapping("prompt_completion", "prompt completion", "", ("user", "", ("prompt",)), ("assistant", "", ("completion",))),
@@ -108,13 +115,36 @@ def fingerprint(paths: set[str] | frozenset[str]) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
 
 
-def chosen(paths: set[str], known: dict[str, Mapping]) -> Mapping | None:
-    """By fingerprint; else the mapping with most paths of those that the record has all of. Remembered by fingerprint."""
-    key = fingerprint(paths)
-    if key not in known:
-        fits = [m for m in set(known.values()) if m and m.paths <= paths]
-        known[key] = max(fits, key=lambda m: (len(m.paths), m.name), default=None)  # type: ignore[assignment]
-    return known[key]
+class Layouts:
+    """Mappings by fingerprint; a bounded number of fingerprints seen is remembered."""
+
+    LIMIT = 10_000
+
+    def __init__(self, mappings: list[Mapping]) -> None:
+        self.mappings, self.known = mappings, {}
+        self.fixed = {fingerprint(m.paths): (m, None) for m in mappings}
+
+    def chosen(self, paths: set[str]) -> tuple[Mapping | None, str | None, str]:
+        """(mapping, error, fingerprint): by fingerprint; else the one mapping whose paths the record has and that holds all others of that kind."""
+        key = fingerprint(paths)
+        if key in self.fixed:
+            return *self.fixed[key], key
+        if key not in self.known:
+            if len(self.known) >= self.LIMIT:
+                self.known.clear()
+            fits = [m for m in self.mappings if m.paths <= paths and not m.whole]
+            widest = [m for m in fits if not any(m.paths < o.paths for o in fits)]
+            self.known[key] = (widest[0], None) if len(widest) == 1 else (None, "ambiguous layout" if widest else "unknown layout")
+        return *self.known[key], key
+
+
+def text_of(value: object) -> str:
+    """Strings as they are, lists of parts as their texts in a row, null as nothing, all else as JSON."""
+    if value is None or isinstance(value, str):
+        return value or ""
+    if isinstance(value, list) and all(isinstance(p, dict) and isinstance(p.get("text"), str) for p in value):
+        return "".join(p["text"] for p in value)
+    return json.dumps(value, ensure_ascii=False, sort_keys=True)
 
 
 def turns_of(record: object, m: Mapping, names: bool) -> list[tuple[str, str]]:
@@ -125,9 +155,8 @@ def turns_of(record: object, m: Mapping, names: bool) -> list[tuple[str, str]]:
     for item in (items or []) if m.each else [record]:
         for fixed, role_path, texts in m.turns:
             role = item.get(role_path) if role_path else fixed
-            role = "" if role is None else str(role)
-            got = [item.get(t) for t in texts]
-            present = ["" if x is None else str(x) for x in got if x not in (None, "")]
+            role = text_of(role)
+            present = [x for x in (text_of(item.get(t)) for t in texts) if x]
             out.append((ROLES.get(role.lower(), role) if names else role, "\n\n".join(present)))
     return out
 
@@ -138,16 +167,15 @@ def canonical_turns(records: DataFrame, json_column: str, keys: list[str], extra
     mappings = [*MAPPINGS, *extra]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {fingerprint(m.paths): m for m in mappings}
+        layouts = Layouts(mappings)
         for batch in batches:
             take, rows = [], []
             for i, raw in enumerate(batch.column("__json").to_pylist()):
                 try:
                     record = json.loads(raw or "{}")
                     paths = field_paths(record)
-                    m = chosen(paths, known) if isinstance(record, dict) else None
-                    print_ = fingerprint(paths)
-                    found = [(p, r, t, m.name, print_, None) for p, (r, t) in enumerate(turns_of(record, m, canonical_roles))] if m else [(0, None, None, None, print_, "unknown layout")]
+                    m, error, print_ = layouts.chosen(paths) if isinstance(record, dict) else (None, "unknown layout", fingerprint(paths))
+                    found = [(p, r, t, m.name, print_, None) for p, (r, t) in enumerate(turns_of(record, m, canonical_roles))] if m else [(0, None, None, None, print_, error)]
                 except (ValueError, AttributeError, TypeError) as e:
                     found = [(0, None, None, None, None, f"{type(e).__name__}: {e}"[:200])]
                 rows += found
@@ -187,8 +215,13 @@ _TURN = re.compile(re.escape(START) + r"([^\n]*)\n(.*?)" + re.escape(END), re.S)
 
 
 def read_back(segments: DataFrame, order: list[str]) -> DataFrame:
-    """Per conv_id: n_turns, digests and lengths, parsed from the formatted segments alone, in ``order``."""
-    dealt = segments.repartition("conv_id").sortWithinPartitions("conv_id", *order)
+    """Per conv_id: n_turns, digests and lengths, parsed from the formatted segments alone, in ``order``, then by role and text."""
+    plain = F.regexp_extract("formatted", r"(?s)^<\|im_start\|>([^\n]*)\n", 1)
+    for mark, char in (("\\x0a", "\n"), ("\\x3c", "<"), ("\\x5b", "["), ("\\x5c", "\\")):
+        plain = F.replace(plain, F.lit(mark), F.lit(char))
+    body = F.regexp_replace(F.regexp_replace("formatted", r"(?s)^<\|im_start\|>[^\n]*\n|<\|im_end\|>\n\z", ""), r"(?s)\\(.)", "$1")
+    # computed behind the exchange
+    dealt = segments.repartition("conv_id").withColumn("__role", plain).withColumn("__text", body).sortWithinPartitions("conv_id", *order, "__role", "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, now = [], None
@@ -232,10 +265,33 @@ def read_back(segments: DataFrame, order: list[str]) -> DataFrame:
     )
 
 
-def format_message_rows(rows: DataFrame) -> DataFrame:
-    """Message rows (conv_id, turn, role, text) -> formatted segments with conv_id, turn, part and the loss mask."""
+#: Layouts that ``as_records`` writes rows in.
+LAYOUTS = 5
+
+
+def as_records(rows: DataFrame) -> DataFrame:
+    """Message rows as JSON records of several layouts, one of each kind in turn by conversation: heterogeneous input with one turn a record."""
+    pair = lambda role, text: F.struct(F.col("role").alias(role), F.col("text").alias(text))
+    kind = F.pmod(F.xxhash64("conv_id"), F.lit(LAYOUTS))
+    parts = F.array(F.struct(F.lit("text").alias("type"), F.col("text")))
+    record = (
+        F.when(kind == 0, F.to_json(F.struct(F.array(pair("role", "content")).alias("messages"))))
+        .when(kind == 1, F.to_json(F.struct(F.array(pair("from", "value")).alias("conversations"))))
+        .when(kind == 2, F.to_json(F.struct(F.array(F.struct("role", parts.alias("content"))).alias("messages"))))
+        .when((kind == 3) & (F.col("role") == "user"), F.to_json(F.struct(F.col("text").alias("prompt"))))
+        .when((kind == 3) & (F.col("role") == "assistant"), F.to_json(F.struct(F.col("text").alias("response"))))
+        .otherwise(F.to_json(F.struct("role", "text")))
+    )
+    return rows.withColumn("record", record)
+
+
+def format_message_rows(rows: DataFrame, mixed: bool = False) -> DataFrame:
+    """Message rows (conv_id, turn, role, text) -> formatted segments with conv_id, turn, part and the loss mask.
+
+    With ``mixed`` the rows go through records of several layouts.
+    """
     small_batches(rows.sparkSession, 2048)
     picked = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")))
-    records = picked.select("conv_id", "turn", F.to_json(F.struct("role", "text")).alias("record"))
-    turns = canonical_turns(records, "record", ["conv_id", "turn"], canonical_roles=False)
+    records = as_records(picked) if mixed else picked.withColumn("record", F.to_json(F.struct("role", "text")))
+    turns = canonical_turns(records.select("conv_id", "turn", "record"), "record", ["conv_id", "turn"], canonical_roles=False)
     return format_turns(turns, ["conv_id", "turn", "part"])

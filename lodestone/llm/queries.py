@@ -42,7 +42,7 @@ PROBE = "SELECT CAST(-7 AS BIGINT) AS conv_id, CAST(t AS BIGINT) AS turn, IF(t =
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(spark.sql(PROBE))
-    return chat_format.read_back(chat_format.format_message_rows(rows), ["turn", "part", "formatted"])
+    return chat_format.read_back(chat_format.format_message_rows(rows, mixed=True), ["turn", "part"])
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

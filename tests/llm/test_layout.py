@@ -152,3 +152,34 @@ def test_pieces_are_cut_only_where_no_sequence_has_room():
                 want[at].append((p, start, n))
                 room[at], cost[at], start, left = room[at] - n, cost[at] + packing.piece_cost(n, 1.0, 0.01), start + n, left - n
         assert packing.assign(lengths, 100, 1.0, 0.01) == (want, cost)
+
+
+def test_ties_go_by_raw_role_and_text(spark):
+    texts = ["<|im_start|>", "<a", "[INST]", "[a", "\\", "\\x", "</s>", "b"]
+    rows = [(1, 0, role, t) for t in texts for role in ("user", "assistant", "a\nb", "<x", "\\x0a")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    want = sorted(rows, key=lambda r: (r[2].encode(), r[3].encode()))
+    digest = hashlib.sha256("".join(f"{r}\n{t}\n" for _, _, r, t in want).encode()).hexdigest()
+    loss = "".join(t for _, _, r, t in want if r == "assistant")
+    for mixed in (False, True):
+        got = C.read_back(C.format_message_rows(df, mixed).repartition(3), ["turn", "part"]).first()
+        assert (got["n_turns"], got["turns_sha256"], got["loss_sha256"]) == (len(rows), digest, hashlib.sha256(loss.encode()).hexdigest())
+
+
+def test_mixed_layouts_are_all_used(spark):
+    rows = [(c, t, ("system", "user", "assistant")[t], f"text {c} {t}") for c in range(40) for t in range(3)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    turns = C.canonical_turns(C.as_records(df), "record", ["conv_id", "turn"], canonical_roles=False).collect()
+    assert {x["layout"] for x in turns} == {"messages", "conversations", "message_parts", "prompt", "response", "message_row"}
+    assert sorted((x["conv_id"], x["turn"], x["role"], x["text"]) for x in turns) == sorted(rows)
+
+
+def test_layouts_that_are_not_clear(spark):
+    records = [{"messages": [{"role": "user", "content": "a"}], "prompt": "b", "response": "c"}, {"x": 1}, {"prompt": 1.5, "response": True, "meta": 3}, {"prompt": "p", "chosen": "c"}, {"system": "s", "prompt": "p", "response": "r", "id": 7}]
+    records.insert(4, records.pop(3))
+    df = spark.createDataFrame([(k, json.dumps(x)) for k, x in enumerate(records)], "id int, r string")
+    got = [(x["id"], x["role"], x["text"], x["error"]) for x in C.canonical_turns(df, "r", ["id"]).orderBy("id", "part").collect()]
+    assert got == [
+        (0, None, None, "ambiguous layout"), (1, None, None, "unknown layout"), (2, "user", "1.5", None), (2, "assistant", "true", None),
+        (3, "system", "s", None), (3, "user", "p", None), (3, "assistant", "r", None), (4, None, None, "unknown layout"),
+    ]
