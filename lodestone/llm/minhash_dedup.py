@@ -130,12 +130,20 @@ def confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Data
 
 
 def dealt(members: DataFrame) -> DataFrame:
-    """Buckets' members in pairs of blocks (i, j): groups of bounded size that hold each pair of a bucket once."""
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    """Buckets' members in pairs of blocks (i, j): groups of bounded size that hold each pair across components once.
+
+    The members of a bucket's largest component meet only those outside of it, so rows grow
+    with members where one component has most of a bucket.
+    """
+    counts = members.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    major = cut(counts.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("size")).select("key", F.col("m.comp").alias("major"), F.ceil((F.col("size") - F.col("m.n")) / BLOCK).cast("int").alias("few"), F.ceil(F.col("m.n") / BLOCK).cast("int").alias("many")))
+    inside = F.col("comp") == F.col("major")
+    hashed = F.xxhash64("doc_id")
+    last = F.when(inside, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1
     return (
-        members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        members.join(major, "key")
+        .withColumn("own", F.when(inside, F.col("few") + F.pmod(hashed, F.col("many"))).otherwise(F.pmod(hashed, F.col("few"))).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), last)))
         .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "comp", "bands", "odd")
     )
 
@@ -165,14 +173,14 @@ def likely(g: dict, most: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def flagged(members: DataFrame, most: int) -> DataFrame:
-    """(key, i, j, doc_id) of the members that have a likely pair in a group: rows grow with members, not with pairs."""
+    """(key, i, j, own, doc_id) of the members that have a likely pair in a group: rows grow with members, not with pairs."""
 
     def run(g: dict) -> list | None:
         x, y = likely(g, most)
         at = np.unique(np.concatenate([x, y]))
-        return [pa.array(g[c][at]) for c in ("key", "i", "j", "doc_id")] if len(at) else None
+        return [pa.array(g[c][at]) for c in ("key", "i", "j", "own", "doc_id")] if len(at) else None
 
-    return map_groups(dealt(members), ["key", "i", "j"], run, "key long, i int, j int, doc_id long")
+    return map_groups(dealt(members), ["key", "i", "j"], run, "key long, i int, j int, own int, doc_id long")
 
 
 def confirmed(g: dict, most: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -224,8 +232,8 @@ def confirmed(g: dict, most: int, percent: int) -> tuple[np.ndarray, np.ndarray]
 def across(texts: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
     """Confirmed links (a, b) between different components that meet in a bucket.
 
-    ``members``: key, doc_id, comp, bands, odd, size (of the bucket).  Large buckets are cut
-    into blocks, and each pair of blocks is one group of bounded size.  A first pass over
+    ``members``: key, doc_id, comp, bands, odd.  Large buckets are cut into blocks, and each
+    pair of blocks is one group of bounded size.  A first pass over
     sketches finds who has a likely partner where; only their sets are sent there.
     """
     most = reach(percent)
@@ -233,9 +241,7 @@ def across(texts: DataFrame, members: DataFrame, width: int, percent: int) -> Da
     ids = cut(marks.select("doc_id").distinct())
     sets = cut(full_sets(texts.join(bounded_broadcast(ids, FEW_IDS), "doc_id", "left_semi"), width).dropDuplicates(["doc_id"]))
     facts = cut(members.select("doc_id", "comp", "bands", "odd").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).join(sets, "doc_id"))
-    sizes = members.select("key", "size").distinct()
-    own = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / BLOCK).cast("int")).cast("int")
-    rows = marks.join(cut(sizes), "key").withColumn("own", own).drop("size").join(facts, "doc_id").select("key", "i", "j", "own", "doc_id", "comp", "bands", "odd", "shingles")
+    rows = marks.join(facts, "doc_id").select("key", "i", "j", "own", "doc_id", "comp", "bands", "odd", "shingles")
 
     def run(g: dict) -> list | None:
         a, b = confirmed(g, most, percent)
@@ -259,7 +265,7 @@ def _near_duplicates(texts: DataFrame, width: int, percent: int) -> DataFrame:
     rows = cut(sketch(texts, width))
     known = rows.filter("n > 0 AND doc_id IS NOT NULL")
     classes = cut(known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
-    reps = cut(known.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "bands", "odd"))
+    reps = cut(known.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("k1", "k2", "bands", "odd")).alias("m")).select("doc_id", "m.bands", "m.odd"))
 
     banded = reps.select("doc_id", F.explode("bands").alias("key"))
     buckets = cut(banded.groupBy("key").agg(F.min(F.expr("doc_id ^ key")).alias("code"), F.count("*").alias("size")).filter("size > 1").select("key", F.expr("code ^ key").alias("hub"), "size"))
@@ -278,7 +284,7 @@ def _near_duplicates(texts: DataFrame, width: int, percent: int) -> DataFrame:
     first = cut(connected_components(links))
 
     # what is left: pairs across components in one bucket
-    placed = members.select("key", "doc_id", "size").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
+    placed = members.select("key", "doc_id").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
     placed = cut(placed)
     open_ = cut(placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key"))
     more = across(texts, cut(placed.join(open_, "key").join(reps, "doc_id")), width, percent)

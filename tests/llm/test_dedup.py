@@ -276,3 +276,25 @@ def test_remove_spans():
     assert substring_dedup.remove_spans(text, [(1, 2)]) == b" a d e "
     assert substring_dedup.remove_spans(text, [(0, 2), (1, 3)]) == b" e "
     assert substring_dedup.remove_spans(text, [(0, 9)]) == b" " and substring_dedup.remove_spans(b"", [(0, 1)]) == b""
+
+
+def test_near_vectors_of_any_scale(spark):
+    rows = [(1, [1e-200, 2e-200], "a"), (2, [1e200, 2e200], "a"), (3, [1.0, 2.0], "b"), (4, [5e-324, 1e-323], "a"), (5, [1.0, -2.0], "a")]
+    got = vector_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string"), 0.98).collect()
+    assert {x["vec_id"]: (x["n_links"], x["component_id"]) for x in got} == {1: (2, 1), 2: (2, 1), 3: (0, 3), 4: (2, 1), 5: (0, 5)}
+
+
+def test_blocks_hold_each_pair_across_components_once(spark, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 8)
+    rows = [(9, d, 1 if d < 150 else d, [0], [0]) for d in range(170)] + [(7, d, 1 + d % 2, [0], [0]) for d in range(20)]
+    dealt = minhash_dedup.dealt(spark.createDataFrame(rows, "key long, doc_id long, comp long, bands array<long>, odd array<long>")).collect()
+    met = collections.Counter()
+    groups = collections.defaultdict(list)
+    for x in dealt:
+        groups[x["key"], x["i"], x["j"]].append(x)
+    for (key, i, j), xs in groups.items():
+        met.update((key, *sorted((x["doc_id"], y["doc_id"]))) for x in xs for y in xs if x["own"] == i and y["own"] == j and x["comp"] != y["comp"] and (i != j or x["doc_id"] < y["doc_id"]))
+    comp = {(k, d): c for k, d, c, *_ in rows}
+    want = {(k, a, b) for k, a in comp for k2, b in comp if k == k2 and a < b and comp[k, a] != comp[k, b]}
+    assert set(met) == want and set(met.values()) == {1}
+    assert sum(x["key"] == 9 for x in dealt) <= 150 * 3 + 20 * 22
