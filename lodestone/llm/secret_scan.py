@@ -1,8 +1,9 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
 Patterns find keys with a known prefix, values assigned to a telling name, and long
-strings that hold a digit.  Each candidate is described by its length, its characters
-and the transitions between their classes, the share that dictionary words cover, the
+strings that hold a digit.  Each candidate is described by its whole length, its
+characters, how much likelier its character transitions are in secrets than in other
+findings (learnt from the labelled ones), the share that dictionary words cover, the
 path it comes from and the words beside it.  A random forest, trained from labelled
 findings with the very same SQL features, decides; it is rendered as one SQL
 expression, so scanning and redaction are row-local SQL: no shuffle, no Python.
@@ -50,26 +51,52 @@ PATTERN = (
 HEAD = rf"^(?i:{NAMES})[\"']?\s{{0,3}}[:=]{{1,2}}\s{{0,3}}[\"']?"
 TAIL = r"(?<![.,;:!?)\]}])[.,;:!?)\]}]++$"
 
-FEATURES = ["chars", "digits", "uppers", "lowers", "transitions", "distinct", "covered", "hexadecimal", "assigned", "beside_for", "beside_against", "sample_path", "prefixed", "vowels"]
+FEATURES = ["chars", "digits", "uppers", "lowers", "transitions", "odds", "distinct", "covered", "hexadecimal", "assigned", "beside_for", "beside_against", "sample_path", "prefixed", "vowels"]
 
 
-def features(value: Column, match: Column, before: Column, after: Column, path: Column) -> Column:
-    """A struct of doubles for a candidate; ``before`` and ``after``: the text on its sides."""
+#: Characters that transitions are told by, regardless of case; digits are one, and so are all others.
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+STATES = len(LETTERS) + 2
+
+
+def states(value: Column) -> Column:
+    """The state of each character, from 0."""
+    plain = F.regexp_replace(F.regexp_replace(F.lower(value), "[0-9]", "0"), "[^a-z0]", ".")
+    return F.transform(F.filter(F.split(plain, ""), lambda c: c != ""), lambda c: F.when(c == "0", len(LETTERS)).when(c == ".", len(LETTERS) + 1).otherwise(F.ascii(c) - 97))
+
+
+def transition_odds(findings: DataFrame) -> list[float]:
+    """Log odds of each transition in secrets against other findings, smoothed: state times ``STATES`` plus next state."""
+    s = states(F.coalesce("value", F.lit("")))
+    pairs = F.transform(F.slice(s, F.lit(2), F.greatest(F.size(s) - 1, F.lit(0))), lambda c, k: F.element_at(s, k + 1) * STATES + c)
+    counts = np.ones((2, STATES, STATES))
+    for r in findings.select("label", F.explode(pairs).alias("pair")).groupBy("label", "pair").count().collect():  # at most 2 * STATES * STATES rows
+        counts[r["label"], r["pair"] // STATES, r["pair"] % STATES] += r["count"]
+    share = counts / counts.sum(2, keepdims=True)
+    return np.round(np.log(share[1] / share[0]), 6).ravel().tolist()
+
+
+def features(value: Column, match: Column, before: Column, after: Column, path: Column, odds: list[float]) -> Column:
+    """A struct of doubles for a candidate; ``before`` and ``after``: the text on its sides; ``odds``: as ``transition_odds`` gives them."""
     n = F.greatest(F.length(value), F.lit(1))
 
     def share(pattern: str) -> Column:
         return F.regexp_count(value, F.lit(pattern)) / n
 
     dictionary = F.length(value) - F.length(F.regexp_replace(F.lower(value), f"(?:{DICTIONARY})", ""))
-    beside = F.concat_ws(" ", F.regexp_extract(before, r"((?:[^\s]+\s+){0,1}[^\s]*)\s*$", 1), F.regexp_extract(after, r"^\s*([^\s]*)", 1))
+    words = lambda text: F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    beside = F.concat_ws(" ", F.reverse(F.slice(F.reverse(words(before)), 1, 2)), F.slice(words(after), 1, 1))
+    table, s = F.array(*map(F.lit, odds)), states(value)
+    jumps = F.zip_with(F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(0))), F.slice(s, F.lit(2), F.greatest(F.size(s) - 1, F.lit(0))), lambda a, b: F.element_at(table, a * STATES + b + 1))
     flag = lambda c: F.when(c, 1.0).otherwise(0.0)
     return F.struct(
-        F.least(n, F.lit(128)).cast("double").alias("chars"),
+        n.cast("double").alias("chars"),
         share("[0-9]").alias("digits"),
         share("[A-Z]").alias("uppers"),
         share("[a-z]").alias("lowers"),
         share("(?<=[a-z])[^a-z]|(?<=[A-Z])[^A-Z]|(?<=[0-9])[^0-9]|(?<=[^A-Za-z0-9])[A-Za-z0-9]").alias("transitions"),
-        (F.size(F.array_distinct(F.split(F.substring(value, 1, 64), ""))) / F.least(n, F.lit(64))).alias("distinct"),
+        (F.aggregate(jumps, F.lit(0.0), lambda t, x: t + x) / n).alias("odds"),
+        (F.size(F.array_distinct(F.split(value, ""))) / n).alias("distinct"),
         (dictionary / n).alias("covered"),
         flag(value.rlike("^[0-9a-fA-F]+$")).alias("hexadecimal"),
         flag(F.length(match) > F.length(value) + 2).alias("assigned"),
@@ -134,7 +161,8 @@ def findings_frame(spark: SparkSession, findings: list[tuple[str, str, str, str,
 class Forest:
     """Gini trees over bootstrap samples, with a random part of the features at each split."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> None:
+    def __init__(self, x: np.ndarray, y: np.ndarray, odds: list[float], trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> None:
+        self.odds = odds
         rng = np.random.default_rng(seed)
         self.trees = []
         for _ in range(trees):
@@ -185,20 +213,26 @@ class Forest:
         return F.round(total / len(self.trees), 6)
 
 
-def matrix(findings: DataFrame, most: int = MAX_FINDINGS) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of at most ``most`` findings."""
-    kept = findings.filter("label IN (0, 1)").orderBy(F.xxhash64("before", "value", "after", "path"), "value", "label").limit(most)
+def learnt(findings: DataFrame, most: int = MAX_FINDINGS) -> DataFrame:
+    """At most ``most`` of the findings, by a hash."""
+    return findings.filter("label IN (0, 1)").orderBy(F.xxhash64("before", "value", "after", "path"), "value", "label").limit(most)
+
+
+def matrix(kept: DataFrame, odds: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the findings, which ``learnt`` has bounded."""
     value, before = F.coalesce("value", F.lit("")), F.coalesce("before", F.lit(""))
     head = F.regexp_extract(before, rf"(?i)(?:{NAMES})[\"']?\s{{0,3}}[:=]{{1,2}}\s{{0,3}}[\"']?$", 0)
     side = F.substring(before, F.lit(1), F.length(before) - F.length(head))
-    made = kept.select(features(value, F.concat(head, value), side, F.coalesce("after", F.lit("")), F.coalesce("path", F.lit(""))).alias("x"), F.col("label").cast("int").alias("y"))
-    rows = made.select("x.*", "y").collect()  # at most ``most`` rows
+    made = kept.select(features(value, F.concat(head, value), side, F.coalesce("after", F.lit("")), F.coalesce("path", F.lit("")), odds).alias("x"), F.col("label").cast("int").alias("y"))
+    rows = made.select("x.*", "y").collect()
     x = np.array([[r[f] for f in FEATURES] for r in rows]).reshape(-1, len(FEATURES))
     return x, np.array([r["y"] for r in rows], float)
 
 
 def train(spark: SparkSession, findings: DataFrame | None = None) -> Forest:
-    return Forest(*matrix(findings if findings is not None else findings_frame(spark, default_findings())))
+    kept = learnt(findings if findings is not None else findings_frame(spark, default_findings()))
+    odds = transition_odds(kept)
+    return Forest(*matrix(kept, odds), odds)
 
 
 def candidates(docs: DataFrame, forest: Forest, text_column: str = "text", path_column: str = "source") -> DataFrame:
@@ -210,8 +244,8 @@ def candidates(docs: DataFrame, forest: Forest, text_column: str = "text", path_
     cut = cut.withColumn("__parts", F.when(F.size("__matches") > 0, F.split(text, PATTERN, -1)).otherwise(F.array(text)))
     zipped = F.arrays_zip(
         F.col("__matches").alias("match"),
-        F.transform(F.slice(F.col("__parts"), F.lit(1), F.size("__matches")), lambda p: F.right(p, F.lit(48))).alias("before"),
-        F.transform(F.slice(F.col("__parts"), F.lit(2), F.size("__matches")), lambda p: F.left(p, F.lit(48))).alias("after"),
+        F.slice(F.col("__parts"), F.lit(1), F.size("__matches")).alias("before"),
+        F.slice(F.col("__parts"), F.lit(2), F.size("__matches")).alias("after"),
     )
     cut = cut.withColumn("__zip", F.when(F.size("__matches") > 0, zipped))
 
@@ -239,7 +273,7 @@ def candidates(docs: DataFrame, forest: Forest, text_column: str = "text", path_
         )
 
     def described(p: Column, at: Column) -> Column:
-        x = features(p["value"], p["match"], p["before"], p["after"], at)
+        x = features(p["value"], p["match"], p["before"], p["after"], at, forest.odds)
         return F.struct(p["match"].alias("match"), p["value"].alias("value"), p["head"].alias("head"), p["tail"].alias("tail"), x.alias("x"))
 
     cut = cut.withColumn("__pieces", F.transform("__zip", piece)).withColumn("__described", F.transform("__pieces", lambda p: described(p, path)))

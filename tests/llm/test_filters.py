@@ -169,11 +169,10 @@ def test_secret_plan_is_native(spark, frame, forest):
 
 
 def test_forest_on_held_out_findings(spark):
-    x, y = secret_scan.matrix(secret_scan.findings_frame(spark, secret_scan.default_findings(900, seed=1)))
-    k = len(y) * 2 // 3
-    f = secret_scan.Forest(x[:k], y[:k])
-    assert ((f.predict(x[k:]) >= 0.5) == y[k:]).mean() > 0.95
-    empty = secret_scan.Forest(np.zeros((0, len(secret_scan.FEATURES))), np.zeros(0))
+    f = secret_scan.train(spark)
+    x, y = secret_scan.matrix(secret_scan.findings_frame(spark, secret_scan.default_findings(900, seed=1)), f.odds)
+    assert ((f.predict(x) >= 0.5) == y).mean() > 0.95
+    empty = secret_scan.Forest(np.zeros((0, len(secret_scan.FEATURES))), np.zeros(0), f.odds)
     assert empty.predict(x[:2]).tolist() == [0.0, 0.0]
 
 
