@@ -52,6 +52,7 @@ class ScanConfig:
     project_size: str = "medium"
     output_path: str = "./AGENTS.md"
     max_file_size_bytes: int = 1_048_576
+    env_subscripts: bool = False
     profile: SizeProfile = field(init=False)
 
     def __post_init__(self) -> None:
@@ -68,7 +69,7 @@ class ScanConfig:
         return {e: lang for e, lang in LANGUAGES.items() if self.allowed is None or lang in self.allowed}
 
 
-_KEYS = {"exclude": list, "include": list, "languages": (str, list), "project_size": str, "agents_md_path": str, "max_file_size_bytes": int}
+_KEYS = {"exclude": list, "include": list, "languages": (str, list), "project_size": str, "agents_md_path": str, "max_file_size_bytes": int, "env_subscripts": bool}
 
 
 def load_config(project: str | Path, file: str = CONFIG_FILE) -> ScanConfig:
@@ -79,7 +80,7 @@ def load_config(project: str | Path, file: str = CONFIG_FILE) -> ScanConfig:
         return ScanConfig()
     if not isinstance(raw, dict):
         return ScanConfig()
-    good = {k: tuple(v) if isinstance(v, list) else v for k, v in raw.items() if k in _KEYS and isinstance(v, _KEYS[k]) and not isinstance(v, bool)}
+    good = {k: tuple(v) if isinstance(v, list) else v for k, v in raw.items() if k in _KEYS and isinstance(v, _KEYS[k]) and isinstance(v, bool) == (_KEYS[k] is bool)}
     if "agents_md_path" in good:
         good["output_path"] = good.pop("agents_md_path")
     return ScanConfig(**good)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -41,20 +42,47 @@ def any_of(parts: list[str]) -> str:
     return rf"^(?:{'|'.join(parts)})\z" if parts else NEVER
 
 
-def exclude_regexes(globs: list[str] | tuple[str, ...]) -> tuple[str, str]:
-    """One expression for whole paths, and one for any single component.
+def exclude_parts(globs: list[str] | tuple[str, ...]) -> tuple[list[str], list[str], list[str]]:
+    """Expressions for whole paths, expressions for single components, and strings to look for in ``/path/``.
 
     A glob stands for whole paths; stripped of ``**/`` before and ``/**`` behind it also
-    stands for a component if no slash is left.
+    stands for a component if no slash is left.  A component that is literal but for a ``*``
+    at one end is a plain string in the path, and its whole paths hold that too.
     """
-    bare = [re.sub(r"/\*\*$", "", re.sub(r"^\*\*/", "", g)) for g in globs]
-    return any_of([shell_regex(g) for g in globs]), any_of([shell_regex(b) for b in bare if b and "/" not in b])
+    whole, component, plain = [], [], []
+    for g in globs:
+        bare = re.sub(r"/\*\*$", "", re.sub(r"^\*\*/", "", g))
+        name = bare.strip("*")
+        if bare and "/" not in bare and not re.search(r"[*?\[]", name) and name and bare in (name, "*" + name, name + "*"):
+            plain.append(("" if bare[0] == "*" else "/") + name + ("" if bare[-1] == "*" else "/"))
+            continue
+        whole.append(shell_regex(g))
+        if bare and "/" not in bare:
+            component.append(shell_regex(bare))
+    return whole, component, plain
 
 
 def excluded(path: C, globs: list[str] | tuple[str, ...]) -> Column:
-    whole, component = exclude_regexes(globs)
+    whole, component, plain = exclude_parts(globs)
     p = posix(path)
-    return p.rlike(whole) | F.exists(F.split(p, "/"), lambda x: x.rlike(component))
+    out = F.lit(False)
+    for text in plain:
+        out = out | F.contains(F.concat(F.lit("/"), p, F.lit("/")), F.lit(text))
+    if whole:
+        out = out | p.rlike(any_of(whole))
+    return out | F.exists(F.split(p, "/"), lambda x: x.rlike(any_of(component))) if component else out
+
+
+def excludes(globs: list[str] | tuple[str, ...]) -> Callable[[str], bool]:
+    """``excluded`` as a test of one path on the driver."""
+    whole, component, plain = exclude_parts(globs)
+    at_whole, at_part = (re.compile(any_of(x).replace(r"\z", r"\Z")) for x in (whole, component))
+
+    def test(path: str) -> bool:
+        p = path.replace("\\", "/")
+        return any(t in f"/{p}/" for t in plain) or bool(at_whole.search(p)) or any(at_part.search(x) for x in p.split("/"))
+
+    return test
 
 
 def included(path: C, globs: list[str] | tuple[str, ...]) -> Column:
@@ -122,3 +150,9 @@ def ignored(path: C, rules: list[Rule]) -> Column:
     for negated, parts in runs:
         out = F.when(col(path).rlike("|".join(f"(?:{p})" for p in parts)), F.lit(not negated)).otherwise(out)
     return out
+
+
+def ignores(rules: list[Rule]) -> Callable[[str], bool]:
+    """``ignored`` as a test of one path on the driver."""
+    compiled = [(re.compile(r.regex.replace(r"\z", r"\Z")), r.negated) for r in reversed(rules)]
+    return lambda path: next((not negated for regex, negated in compiled if regex.search(path)), False)

@@ -153,7 +153,7 @@ def build(project: str | Path, config: ScanConfig, files: DataFrame, listing: Da
     out["project_structure"] = project_structure(files, listing, config)
     out["build_system"] = build_system(listing)
     out["entry_points"] = _rows(scans.entry_points(files.filter("language IS NOT NULL")))
-    out["env_vars"] = [r["name"] for r in scans.env_vars(files).collect()]
+    out["env_vars"] = [r["name"] for r in scans.env_vars(files, config.env_subscripts).collect()]
     out["changes"] = sorted(_rows(deleted) + diffs, key=lambda r: r["file"])
     out["full_analysis"] = analysis
     if with_context:

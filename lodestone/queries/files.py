@@ -97,15 +97,15 @@ def _files(t):
     return t("documents").select("doc_id", F.concat(pick(DIRS), F.lit("/"), pick(NAMES)).alias("path"))
 
 
-_WHOLE, _PART = globs.exclude_regexes(DEFAULT_EXCLUDE)
+def _globbed(value: str, patterns: list[str]) -> str:
+    """Shell patterns in the oracle's own GLOB."""
+    return "(" + " OR ".join(f"{value} GLOB '{g}'" for g in patterns) + ")"
 
 
-def _q(regex: str) -> str:
-    """A regular expression as a SQL literal of the oracle's dialect."""
-    return "'" + regex.replace("[\\s\\S]", "(?s:.)").replace("'", "''") + "'"
+_BARE = [b for b in (g.removeprefix("**/").removesuffix("/**") for g in DEFAULT_EXCLUDE) if b and "/" not in b]
 
 
-@query(f"SELECT doc_id, path FROM ({FILES_SQL}) WHERE NOT (regexp_matches(path, {_q(_WHOLE)}) OR len(list_filter(string_split(path, '/'), lambda c: regexp_matches(c, {_q(_PART)}))) > 0)")
+@query(f"SELECT doc_id, path FROM ({FILES_SQL}) WHERE NOT ({_globbed('path', DEFAULT_EXCLUDE)} OR len(list_filter(string_split(path, '/'), lambda c: {_globbed('c', _BARE)})) > 0)")
 def exclude_globs(spark, t):
     return _files(t).filter(~globs.excluded("path", DEFAULT_EXCLUDE))
 

@@ -6,6 +6,7 @@ import subprocess
 import pytest
 
 from lodestone.config import PROFILES, ScanConfig, load_config
+from lodestone.functions import globs
 from lodestone.plans import cli, connectors, payload, scan
 from lodestone.sources import listing, snapshot, tree
 from lodestone.streaming import incremental
@@ -168,3 +169,27 @@ def test_cli(spark, tmp_path, capsys):
     lines = capsys.readouterr().out.strip().splitlines()
     assert json.loads(lines[0])["status"] == "ready" and '"full_analysis"' in json.loads(lines[1])["data"]
     assert cli.main(["read", str(at), "--base", str(tmp_path / "c")]) == 1
+
+
+def test_files_left_out_are_never_opened(spark, tmp_path):
+    at = tmp_path / "p"
+    for p in ("a.py", "lib/b.go", "node_modules/x/i.js", "ignored/c.py", "package.json", "data.bin"):
+        (at / p).parent.mkdir(parents=True, exist_ok=True)
+        (at / p).write_text("{}" if p.endswith("json") else "x = 1\n")
+    (at / ".gitignore").write_text("ignored/\n")
+    opened = lambda df: {r["path"] for r in df.collect() if r["hash"] is not None}
+    scanned = tree.scanned_files(spark, str(at), ScanConfig())
+    assert {p for part in tree.TreeReader({"path": str(at), "ignore": "true", "exclude": json.dumps(ScanConfig().exclude)}).partitions() for p, *_ in part.rows} == {"a.py", "lib/b.go", "package.json", "data.bin", ".gitignore"}
+    assert opened(scanned) == {"a.py", "lib/b.go", "package.json", "data.bin", ".gitignore"}
+    assert opened(tree.source_files(spark, str(at), ScanConfig())) == opened(tree.source_files(spark, str(at), ScanConfig(), scanned)) == {"a.py", "lib/b.go"}
+    assert opened(tree.read_tree(spark, str(at), read=scan.NOTHING)) == set() and tree.read_tree(spark, str(at), read=scan.NOTHING).count() == 7
+    assert opened(tree.read_tree(spark, str(at), read=scan.MANIFESTS)) == {"a.py", "package.json", "data.bin", ".gitignore"}
+
+
+def test_driver_tests_of_paths_are_the_columns(spark):
+    paths = ["a/node_modules/b.js", "node_modules", "x/y.min.js", "src/build", "a/__pycache__/c.pyc", "src/a.py", "lib/x/y.py", "tests/a\nb", "dist/z", "q/distant/z", "Service References/a"]
+    rules = globs.ignore_rules([(".", "*.js\n/src/\n!src/build\ntests/"), ("lib", "*.py")])
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    got = df.select("path", globs.excluded("path", ScanConfig().exclude).alias("e"), globs.ignored("path", rules).alias("i")).collect()
+    excludes, ignores = globs.excludes(ScanConfig().exclude), globs.ignores(rules)
+    assert [(r["path"], r["e"], r["i"]) for r in got] == [(p, excludes(p), ignores(p)) for p in paths]
