@@ -92,11 +92,13 @@ def _scan(src: Source, lo: int, hi: int, out: Analysis) -> None:
         floor = at if not m["import"] else floor
 
 
+_RETURNS = re.compile(r"\s*(?::[^=;{]+)?=>")
+
+
 def _is_arrow(src: Source, m: re.Match[str]) -> bool:
     if m[0].endswith("=>"):
         return True
-    after = src.bare[src.end_of(m.end() - 1) + 1 :][:400]
-    return bool(re.match(r"\s*(?::[^=;{]+)?=>", after))
+    return bool(_RETURNS.match(src.bare, src.end_of(m.end() - 1) + 1))
 
 
 def _statement_end(src: Source, at: int, hi: int) -> int:
