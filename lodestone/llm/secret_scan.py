@@ -124,7 +124,7 @@ def default_findings(n: int = 1600, seed: int = SEED) -> list[tuple[str, str, st
         if kind < 0.14:
             value, label = "AKIA" + text(upper, 16), 1
         elif kind < 0.27:
-            before, value, label = before + name() + assign(), text(hexa, r.choice([12, 16, 17, 20, 24, 32, 40, 64])), 1
+            before, value, label = before + name() + assign(), text(r.choice([hexa, hexa, "0123456789" * 4 + hexa]), r.choice([12, 16, 17, 18, 20, 24, 32, 40, 64])), 1  # some of almost only digits
         elif kind < 0.36:
             before, value, label = before + name() + assign(), text(base + "!@#%_-", r.randint(10, 48)), 1
         elif kind < 0.42:
