@@ -267,7 +267,7 @@ def test_windows_do_not_depend_on_batches(frame):
     fill = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(n))
     line = fill(20)
     rows = [(k, f"{fill(40)} {line} {fill(40)}") for k in range(40)]
-    made = lambda n: {tuple(x) for x in substring_dedup.windows(frame(rows).repartition(n).select("doc_id", "text"), 50).select("key", "doc_id", "at", "to").collect()}
+    made = lambda n: {tuple(x) for x in substring_dedup.windows(frame(rows).repartition(n).select("doc_id", "text"), 50).select("key", "doc_id", "at", "ext").collect()}
     assert made(1) == made(40)
 
 
