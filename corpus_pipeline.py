@@ -4,6 +4,12 @@ Stages, each over all that the one before kept: quality rules, near-duplicate re
 (one document of each group stays), removal of passages that an earlier document has,
 redaction of secrets, packing.  Every stage but the last returns the columns of
 ``documents``; ``run`` writes each stage as Parquet to the shared folder and rereads it.
+
+Defined results: null, empty and short texts fail the quality rules and go; rows that share
+an id are one document to the near-duplicate stages, and stay or go together; rows with a
+null id are copies of nothing and reach the packing; an empty table gives no rows; columns
+beside doc_id and text are carried up to the packing, which returns its own; texts of any
+length are processed whole.
 """
 
 from __future__ import annotations
