@@ -18,10 +18,10 @@
    reach, is not covered by passages found.  Windows of equal contexts are stood for by
    their first text.  What two others share holds a shingle that is rare in the group, and
    then one near to their centres, or frequent ones alone that reach over a passage's
-   length.  Groups over ``BLOCK`` are so split into groups by a rare shingle, which are
-   bounded, and the distinct profiles of frequent shingles, which go to pairs of blocks;
-   inside a group the same rule names the partners of smaller ids, which are verified on
-   the contexts.  A window keeps the partners that cover more of it, so links don't grow
+   length.  Groups over ``BLOCK`` go to pairs of blocks; those over ``SPLIT`` blocks are
+   split into groups by a rare shingle, which are bounded, and the distinct profiles of
+   frequent shingles, which go to pairs of blocks too.  Inside a group the same rule names
+   the partners of smaller ids, which are verified on the contexts.  A window keeps the partners that cover more of it, so links don't grow
    with pairs; they go through step 4 with one function being enough.
 
 Passages of a text are reported against smaller ids only, so the first text that has a
@@ -53,6 +53,8 @@ WIDTH, HASHES, AGREE = 5, 4, 2
 LEAST = 50
 #: Windows that a block of a group holds; windows from which a shingle is frequent in a block, and rare ones looked at on either side of a centre.
 BLOCK, HOT, RARE = 2048, 32, 16
+#: Blocks from which a group is split: all pairs of blocks send a window once a block, the split up to 2 x ``RARE`` times.
+SPLIT = 8
 #: Shingles that a chain may jump over, and ids that are broadcast at most.
 GAP, FEW_IDS = 15, 1_000_000
 
@@ -382,9 +384,13 @@ DEALT = ["key", "i", "j", "own", "doc_id", "at", "ext", "same", "open", "mid", "
 def in_blocks(rows: DataFrame) -> DataFrame:
     """Groups with an open window in pairs of blocks (i, j) of at most ``BLOCK`` windows each, about."""
     sizes = cut(rows.groupBy("key").agg(F.count("*").alias("n"), F.max("open").alias("any")).filter("n > 1 AND any").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    return spread(rows.join(sizes, "key"))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows that know their group's blocks, once for each pair of blocks that theirs is in."""
     return (
-        rows.join(sizes, "key")
-        .withColumn("own", F.pmod(F.xxhash64("doc_id", "at"), F.col("blocks")).cast("int"))
+        rows.withColumn("own", F.pmod(F.xxhash64("doc_id", "at"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *DEALT[3:])
     )
@@ -392,13 +398,13 @@ def in_blocks(rows: DataFrame) -> DataFrame:
 
 def by_context(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links of windows to the first one of equal context in their group, and those first ones."""
-    ranked = cut(rows.withColumn("s", F.first(F.expr(SIDE)).over(Window.partitionBy("key", "same").orderBy("doc_id", "at"))))
-    equal = ranked.filter(F.col("open") & (F.col("s.src") != F.col("doc_id"))).select("doc_id", "at", "ext", "s")
-    return equal, ranked.filter(F.col("s.src") == F.col("doc_id")).drop("s")
+    firsts = cut(rows.groupBy("key", "same").agg(F.min(F.struct(F.col("doc_id").alias("src"), F.col("at").alias("src_at"), F.col("ext").alias("src_ext"))).alias("s"), F.count("*").alias("n")))
+    equal = rows.filter("open").join(firsts.filter("n > 1").drop("n"), ["key", "same"]).filter("s.src != doc_id").select("doc_id", "at", "ext", "s")
+    return equal, rows.join(firsts.select("key", "same", F.col("s.src").alias("doc_id")), ["key", "same", "doc_id"], "left_semi")
 
 
 def split(large: DataFrame, tokens: int) -> tuple[DataFrame, DataFrame]:
-    """Windows of groups over ``BLOCK``: those that share a rare shingle near their centres, in groups of their own, and those with frequent ones over a passage's length.
+    """Windows of groups over ``SPLIT`` blocks: those that share a rare shingle near their centres, dealt as groups of their own, and those with frequent ones over a passage's length.
 
     A group is looked at in parts of about ``BLOCK`` windows.  Frequent is what over
     ``BLOCK`` / parts windows of a part hold, so a rare shingle stands in ``BLOCK`` windows
@@ -459,9 +465,9 @@ def split(large: DataFrame, tokens: int) -> tuple[DataFrame, DataFrame]:
 
     marks = cut(told.mapInArrow(rare, "sub long, key long, doc_id long, at long, open boolean"))
     several = marks.groupBy("sub").agg(F.count("*").alias("n"), F.max("open").alias("any"), F.sum(F.xxhash64("key", "doc_id", "at").cast("decimal(38,0)")).alias("who")).filter("n > 1 AND any")
-    several = several.groupBy("n", "who").agg(F.min("sub").alias("sub"))
-    near = marks.join(several.select("sub"), "sub").drop("open").join(large, ["key", "doc_id", "at"]).drop("key").withColumnRenamed("sub", "key")
-    return near, told.mapInArrow(profiles, CONTEXT_SCHEMA)
+    several = several.groupBy("n", "who").agg(F.min("sub").alias("sub")).select("sub", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    near = marks.join(several, "sub").drop("open").join(large, ["key", "doc_id", "at"]).drop("key").withColumnRenamed("sub", "key")
+    return spread(near), told.mapInArrow(profiles, CONTEXT_SCHEMA)
 
 
 def open_links(rows: DataFrame, least: int, percent: int) -> DataFrame:
@@ -470,14 +476,18 @@ def open_links(rows: DataFrame, least: int, percent: int) -> DataFrame:
     rows = cut(rows)
     big = cut(rows.groupBy("key").agg(F.count("*").alias("n"), F.max("open").alias("any")).filter(f"n > {BLOCK} AND any").select("key"))
     links = []
-    if not big.isEmpty():
-        equal, reps = by_context(rows.join(big, "key", "left_semi"))
-        near, profiles = split(cut(reps), tokens)
-        more, first = by_context(profiles)
-        links = [equal, more]
-        dealt = in_blocks(rows.join(big, "key", "left_anti").unionByName(near)).unionByName(in_blocks(first))
-    else:
+    if big.isEmpty():
         dealt = in_blocks(rows)
+    else:
+        equal, reps = by_context(cut(rows.join(big, "key", "left_semi")))
+        links, reps = [equal], cut(reps)
+        huge = cut(reps.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > SPLIT * BLOCK).select("key"))
+        dealt = in_blocks(rows.join(big, "key", "left_anti").unionByName(reps.join(huge, "key", "left_anti").select(*rows.columns)))
+        if not huge.isEmpty():
+            near, profiles = split(cut(reps.join(huge, "key", "left_semi")), tokens)
+            more, first = by_context(cut(profiles))
+            links.append(more)
+            dealt = dealt.unionByName(near).unionByName(in_blocks(cut(first)))
 
     def run(g: dict) -> list | None:
         u, v, stand = equal_ones(g)

@@ -234,10 +234,11 @@ def test_passages(spark, frame):
     assert substring_dedup.passages(frame([])).count() == 0 and substring_dedup.passages(frame([(1, "short"), (2, "short")])).count() == 0
 
 
-@pytest.mark.parametrize(("block", "common"), [(2048, 40), (16, 45), (16, 10)])
-def test_passages_in_mixed_groups(spark, frame, monkeypatch, block, common):
+@pytest.mark.parametrize(("block", "split", "common"), [(2048, 8, 40), (16, 1, 45), (16, 1, 10), (16, 8, 45)])
+def test_passages_in_mixed_groups(spark, frame, monkeypatch, block, split, common):
     """Pairs whose passage holds a quote that many other texts have in other contexts, and a family of near copies of a passage."""
     monkeypatch.setattr(substring_dedup, "BLOCK", block)
+    monkeypatch.setattr(substring_dedup, "SPLIT", split)
     r = random.Random(6)
     fill = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(n))
     quote, family = fill(common), fill(60)
