@@ -529,6 +529,9 @@ def chains(a: np.ndarray, b: np.ndarray, least: int, percent: int) -> list[tuple
         if hit[j] - hit[i] + 1 < least:
             return
         own = place[i : j + 1]
+        if hit[j] - hit[i] == j - i and (np.diff(own) == 1).all():  # the same shingles in the same order
+            out.append((int(hit[i]), j - i + 1, int(own[0]), j - i + 1, 1.0))
+            return
         shift = np.median(own - hit[i : j + 1])
         on = np.abs(own - hit[i : j + 1] - shift) <= max(GAP, (hit[j] - hit[i]) // 5)
         if not on.any():
