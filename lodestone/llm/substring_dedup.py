@@ -232,14 +232,15 @@ def candidates(ids: np.ndarray, counts: np.ndarray, first: np.ndarray, g: dict,
     """Pairs (window, possible partner of a smaller id) of a group.
 
     What two windows share of a passage holds the common centre and reaches ``tokens``
-    shingles.  Either a shingle that is rare in the group is among it, and then one that is near
-    to the centre (a chain jumps over ``GAP`` at most), or it is all of frequent ones.
+    shingles.  Either a shingle that is rare in the group is among it, on the same side of
+    the centre, or it is all of frequent ones.
     """
     n, doc, own = len(first) - 1, g["doc_id"], g["own"]
     row = np.repeat(np.arange(n), np.diff(first))
     frequent = counts[ids] > HOT
-    at, side = beside(~frequent, first, g["mid"])
-    at, side = at[counts[ids[at]] > 1], side[counts[ids[at]] > 1]
+    centre = (first[:-1] + g["mid"])[row]
+    at = np.flatnonzero(~frequent & (counts[ids] > 1) & (np.arange(len(ids)) != centre))
+    side = (at < centre[at]).astype(np.int64)
     code = ids[at] * 2 + side
     by = np.argsort(code, kind="stable")
     code, who = code[by], row[at][by]
