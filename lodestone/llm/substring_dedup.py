@@ -25,8 +25,9 @@
    with pairs; they go through step 4 with one function being enough.
 
 Passages of a text are reported against smaller ids only, so the first text that has a
-passage keeps it.  Not all texts that share a passage are named, but each of its parts is
-reported against one of them at least.
+passage keeps it.  Not all texts that share a passage are named; its parts are meant to be
+reported against one of them at least, which holds for passages without edits and for
+nearly all with edits (the README has figures).
 
 Defined results: null, empty and short texts have no passage; repeated equal rows give
 one report (ids are expected to be unique: differing rows that share one are compared
@@ -51,7 +52,7 @@ from lodestone.llm.common import bounded_broadcast, cut, map_groups, mix64, scra
 WIDTH, HASHES, AGREE = 5, 4, 2
 #: Words of the shortest passage.
 LEAST = 50
-#: Windows that a block of a group holds; windows from which a shingle is frequent in a block, and rare ones looked at on either side of a centre.
+#: Windows that a block of a group holds; windows from which a shingle is frequent in a block, and rare ones that a split looks at on either side of a centre.
 BLOCK, HOT, RARE = 2048, 32, 16
 #: Blocks from which a group is split: all pairs of blocks send a window once a block, the split up to 2 x ``RARE`` times.
 SPLIT = 8
