@@ -299,3 +299,24 @@ def test_blocks_hold_each_pair_across_components_once(spark, monkeypatch):
     want = {(k, a, b) for k, a in comp for k2, b in comp if k == k2 and a < b and comp[k, a] != comp[k, b]}
     assert set(met) == want and set(met.values()) == {1}
     assert sum(x["key"] == 9 for x in dealt) <= 150 * 3 + 20 * 22
+
+
+def test_vectors_without_clusters_ship_few_copies(spark, monkeypatch):
+    monkeypatch.setattr(vector_dedup, "SMALL", 0)
+    r = np.random.default_rng(6)
+    base = r.normal(size=(5000, 64))
+    x = np.concatenate([base, base[:600] + r.uniform(0.01, 0.2, (600, 1)) * r.normal(size=(600, 64))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(k, v.tolist(), 1) for k, v in enumerate(x)]
+    shipped, linked = [], vector_dedup.linked
+
+    def counted(placed, *a):
+        shipped.append(placed.selectExpr("avg(1 + size(visits))").first()[0])
+        return linked(placed, *a)
+
+    monkeypatch.setattr(vector_dedup, "linked", counted)
+    got = {g["vec_id"]: g["n_links"] for g in vector_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), 0.98, per_cell=20).collect()}
+    want, _ = brute_vectors(rows[:600] + rows[5000:], 0.98)
+    assert len(got) == len(rows) and all(n <= want[k] for k, n in got.items())
+    assert sum(got.values()) >= 0.97 * sum(want.values()) and sum(want.values()) > 400
+    assert len(shipped) == 1 and 1 < shipped[0] < 1.2 * vector_dedup.COPIES
