@@ -21,7 +21,9 @@ each for itself; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+import json
+import re
+from collections.abc import Iterable, Iterator
 from unicodedata import is_normalized
 
 import numpy as np
@@ -46,36 +48,74 @@ class ChunkIds(dict):
     """
 
     LIMIT = 600_000
+    #: Words that are encoded in one call, and such of which normaliser and splitter leave every one as it is.
+    TOGETHER, PLAIN = 1000, re.compile("[a-zß-öø-ÿ]+")
+    #: Closing marks that are a match of their own behind a letter (an apostrophe may not be).
+    STOPS = b".,;:!?*#$%&)"
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: For plain words: the same model without normaliser, cutting at white space; and which ids end a word.
+        self.words = None
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = [[t["type"] for t in (spec[k] or {}).get(f"{k.replace('_', '')}s", [])] for k in ("normalizer", "pre_tokenizer")]
+        if steps == [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]]:
+            self.words = Tokenizer.from_file(path)
+            self.words.normalizer = normalizers.Sequence([])
+            self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            vocabulary = self.words.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         #: The vocabulary's control strings: the library gives their ids wherever a text holds them.
-        self.control = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.control = re.compile(b"|".join(re.escape(t.content.lower().encode()) for t in self.tokenizer.get_added_tokens_decoder().values()) or b"(?!)")
 
     def __missing__(self, chunk: bytes) -> bytes:
-        """Case and one closing stop are taken off first where that can't change the ids, so that fewer words are encoded.
+        """Case and closing stops are taken off first where that can't change the ids, so that fewer words are encoded.
 
-        The normaliser lower-cases, and a stop behind a letter is a match of its own.
+        The normaliser lower-cases, and stops behind a letter are a match of their own.
         """
-        text = chunk.decode("utf-8", "replace")
         low = chunk.lower()
-        if any(c in low for c in self.control):  # told by their exact letters, before the normaliser
-            out = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        elif low != chunk and is_normalized("NFC", text):
+        if self.control.search(low):  # told by their exact letters, before the normaliser
+            out = self.library(chunk)
+        elif low != chunk and (chunk.isascii() or is_normalized("NFC", chunk.decode("utf-8", "replace"))):
             out = self[low]
-        elif len(chunk) > 1 and chunk[-1] in b".," and text[-2].lower().isalpha():
-            out = self[chunk[:-1]] + self[chunk[-1:]]
+        elif (base := chunk.rstrip(self.STOPS)) != chunk and (base[-1:].isalpha() or base.decode("utf-8", "replace")[-1:].lower().isalpha()):
+            out = self[base] + self[chunk[len(base) :]]
         else:
-            out = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            out = self.library(chunk)
         self[chunk] = out
         return out
 
-    def encode(self, text: bytes) -> bytes:
+    def library(self, chunk: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, chunks: Iterable[bytes]) -> None:
+        """Encode the plain words of new chunks, many in one call; the ids that end a word tell them apart."""
+        if not self.words:
+            return
+        new = {c.lower().rstrip(self.STOPS) for c in chunks}
+        new = [w for w in (b.decode("utf-8", "replace") for b in new if b not in self) if self.PLAIN.fullmatch(w)]
+        for lo in range(0, len(new), self.TOGETHER):
+            some = new[lo : lo + self.TOGETHER]
+            ids = np.array(self.words.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(cuts) == len(some) and cuts[-1] == len(ids):  # otherwise each is encoded for itself
+                packed = ids.tobytes()
+                for word, a, b in zip(some, [0, *cuts], cuts, strict=False):
+                    self[word.encode()] = packed[4 * a : 4 * b]
+
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
         if len(self) > self.LIMIT:
             self.clear()
-        return b"".join(map(self.__getitem__, text.split()))
+        parts = [text.split() for text in texts]
+        self.learn({chunk for part in parts for chunk in part if chunk not in self})
+        return [b"".join(map(self.__getitem__, part)) for part in parts]
+
+    def encode(self, text: bytes) -> bytes:
+        return self.encode_all([text])[0]
 
 
 _KNOWN: dict[str, ChunkIds] = {}
@@ -164,8 +204,8 @@ def _pack_partition(batches: Iterator[pa.RecordBatch], path: str, capacity: int,
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[lo : lo + 4096], strict=True), ARROW, strict=True)], schema=ARROW)
 
     for batch in text_chunks(batches, "text"):
-        for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch, "text"), strict=True):
-            ids = known.encode(text) + end
+        for doc, ids in zip(batch.column("doc_id").to_pylist(), known.encode_all(texts_of(batch, "text")), strict=True):
+            ids += end
             total = len(ids) // 4
             whole = total // capacity * capacity
             for s in range(0, whole, capacity):

@@ -45,6 +45,26 @@ def test_chunk_ids_are_the_librarys(word_bpe):
         assert np.frombuffer(known.encode(text.encode()), "<u4").tolist() == word_bpe.encode(text, add_special_tokens=False).ids, text
 
 
+def test_new_words_are_encoded_together(word_bpe):
+    r, known = random.Random(2), packing.ChunkIds(WORDS)
+    stems = ["".join(r.choice("aeioustrnçéèßÿlmp") for _ in range(r.randint(1, 14))) for _ in range(1500)]
+    words = [s + r.choice(["", "", ".", ",", "$$$", ".%%%", "?)"]) for s in stems]
+    words = [w.title() if r.random() < 0.2 else w for w in words] + ["don't.", "x's***", "a1.", "é́.", "¡hola!", "x<|endoftext|>.", "&lt;", "ſ.", "ªº"]
+    calls, plain = [], known.tokenizer
+
+    class Counted:
+        def encode(self, text, **k):
+            calls.append(text)
+            return plain.encode(text, **k)
+
+    known.tokenizer = Counted()
+    text = " ".join(words)
+    got = known.encode_all([text.encode(), b"", text.encode()])
+    want = np.array(word_bpe.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert got == [want, b"", want]
+    assert len(calls) < 400 and all(known[w.encode()] == np.array(word_bpe.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words)
+
+
 def check_pieces(pieces, rows, tokenizer, capacity):
     want = sorted(((d, zlib.crc32(np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [1], "<u4").tobytes())) for d, t in rows), key=repr)
     by_sequence, by_document = {}, {}
