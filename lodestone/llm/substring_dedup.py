@@ -253,7 +253,8 @@ def candidates(ids: np.ndarray, counts: np.ndarray, first: np.ndarray, g: dict,
         u, v = who[same], who[same + step]
         u, v = np.where(doc[u] > doc[v], u, v), np.where(doc[u] > doc[v], v, u)
         ok = (doc[u] > doc[v]) & g["open"][u]
-        pairs.append(np.unique(u[ok] * n + v[ok]))
+        codes = u[ok] * n + v[ok]
+        pairs.append(np.unique(codes) if len(codes) > 4096 else codes)
     # frequent shingles that reach over a passage's length
     place = np.flatnonzero(frequent)
     low, high = np.full(n, len(ids)), np.full(n, -1)
@@ -318,7 +319,7 @@ def partners(g: dict, tokens: int, percent: int) -> tuple[np.ndarray, np.ndarray
     for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(us)], strict=True) if len(us) else []:
         u, all_ = int(us[lo]), vs[lo:hi]
         mine, left = ids[first[u] : first[u + 1]], bare[first[u] : first[u + 1]].copy()
-        uniq, back = np.unique(mine, return_inverse=True)
+        uniq, back = np.unique(mine, return_inverse=True) if repeated[u] else (mine, slice(None))
         place[uniq] = np.arange(len(uniq))
         kept = []
         for k in range(0, len(all_), 4096):
@@ -337,6 +338,8 @@ def partners(g: dict, tokens: int, percent: int) -> tuple[np.ndarray, np.ndarray
         order = np.argsort(doc[some], kind="stable")
         some, where = some[order], where[order]
         unclear = repeated[some] | repeated[u]
+        ok = unclear | (100 * (where >= 0).sum(1) >= percent * tokens)  # as much as any span needs that may hold
+        some, where, unclear = some[ok], where[ok], unclear[ok]
         while len(some):
             ok = unclear | may_hold(where >= 0, where, left, tokens, percent)
             some, where, unclear = some[ok], where[ok], unclear[ok]
@@ -513,38 +516,50 @@ def chains(a: np.ndarray, b: np.ndarray, least: int, percent: int) -> list[tuple
     sb = b[by]
     lo, hi = np.searchsorted(sb, a, "left"), np.searchsorted(sb, a, "right")
     hit = np.flatnonzero(hi > lo)
-    if not len(hit):
+    # without repeated shingles, what holds has at least ``percent`` hundredths of ``least`` and of its length in common
+    ordered = np.sort(a)
+    enough = percent if (ordered[1:] != ordered[:-1]).all() else 0
+    if not len(hit) or 100 * len(hit) < enough * least:
         return []
     # of several places in b: the one that follows the match before, else the one nearest to the diagonal of unique matches
     unique = hit[hi[hit] - lo[hit] == 1]
     place = by[lo[hit]].astype(np.int64)
     anchor = np.clip(np.searchsorted(unique, hit), 0, max(len(unique) - 1, 0))
     expected = by[lo[unique[anchor]]] - unique[anchor] + hit if len(unique) else place
-    for k in np.flatnonzero(hi[hit] - lo[hit] > 1).tolist():
-        options = by[lo[hit[k]] : hi[hit[k]]]
-        follow = place[k - 1] + hit[k] - hit[k - 1] if k else -1
-        at = np.searchsorted(options, follow)
-        place[k] = follow if at < len(options) and options[at] == follow else options[np.abs(options - expected[k]).argmin()]
+    several = np.flatnonzero(hi[hit] - lo[hit] > 1).tolist()
+    if several:
+        at, to = hit.tolist(), place.tolist()
+        for k in several:
+            follow = to[k - 1] + at[k] - at[k - 1] if k else -1
+            if 0 <= follow < len(b) and b[follow] == a[at[k]]:
+                to[k] = follow
+            else:
+                options = by[lo[at[k]] : hi[at[k]]]
+                to[k] = int(options[np.abs(options - expected[k]).argmin()])
+        place = np.array(to, np.int64)
     out = []
 
     def test(i: int, j: int) -> None:
-        if hit[j] - hit[i] + 1 < least:
+        if hit[j] - hit[i] + 1 < least or 100 * (j - i + 1) < enough * least:
             return
         own = place[i : j + 1]
         if hit[j] - hit[i] == j - i and (np.diff(own) == 1).all():  # the same shingles in the same order
             out.append((int(hit[i]), j - i + 1, int(own[0]), j - i + 1, 1.0))
             return
-        shift = np.median(own - hit[i : j + 1])
-        on = np.abs(own - hit[i : j + 1] - shift) <= max(GAP, (hit[j] - hit[i]) // 5)
+        off = own - hit[i : j + 1]
+        by_shift = np.sort(off)
+        shift = (by_shift[(j - i) // 2] + by_shift[(j - i + 1) // 2]) / 2
+        on = np.abs(off - shift) <= max(GAP, (hit[j] - hit[i]) // 5)
         if not on.any():
             return
-        b0, b1 = int(own[on].min()), int(own[on].max())
-        x, y = np.unique(a[hit[i] : hit[j] + 1]), np.unique(b[b0 : b1 + 1])
-        same = len(np.intersect1d(x, y, assume_unique=True))
-        union = len(x) + len(y) - same
-        if 100 * same >= percent * union and b1 - b0 + 1 >= least * percent // 100:
-            out.append((int(hit[i]), int(hit[j] - hit[i] + 1), b0, b1 - b0 + 1, same / union))
-            return
+        if 100 * (j - i + 1) >= enough * (hit[j] - hit[i] + 1):
+            b0, b1 = int(own[on].min()), int(own[on].max())
+            x, y = np.unique(a[hit[i] : hit[j] + 1]), np.unique(b[b0 : b1 + 1])
+            same = len(np.intersect1d(x, y, assume_unique=True))
+            union = len(x) + len(y) - same
+            if 100 * same >= percent * union and b1 - b0 + 1 >= least * percent // 100:
+                out.append((int(hit[i]), int(hit[j] - hit[i] + 1), b0, b1 - b0 + 1, same / union))
+                return
         step = np.maximum(np.diff(hit[i : j + 1]) - 1, np.minimum(np.abs(np.diff(own) - np.diff(hit[i : j + 1])), 10**6))
         k = int(step.argmax())
         if step[k] > 0:

@@ -320,3 +320,29 @@ def test_vectors_without_clusters_ship_few_copies(spark, monkeypatch):
     assert len(got) == len(rows) and all(n <= want[k] for k, n in got.items())
     assert sum(got.values()) >= 0.97 * sum(want.values()) and sum(want.values()) > 400
     assert len(shipped) == 1 and 1 < shipped[0] < 1.2 * vector_dedup.COPIES
+
+
+def test_chains_test_no_stretch_that_is_too_sparse(monkeypatch):
+    r = np.random.default_rng(8)
+    a = r.choice(1 << 40, 4000, replace=False).astype(np.uint64)
+    b = r.choice(1 << 40, 4000, replace=False).astype(np.uint64) + np.uint64(1 << 41)
+    b[::3] = a[::3]  # a third in common everywhere, and two passages
+    b[1000:1060], b[2000:2100] = a[1000:1060], a[2000:2100]
+    asked, intersect = [], np.intersect1d
+    monkeypatch.setattr(np, "intersect1d", lambda *x, **k: asked.append(1) or intersect(*x, **k))
+    got = substring_dedup.chains(a, b, 46, 80)
+    assert [(s <= 1000 and s + n >= 1060, s <= 2000 and s + n >= 2100) for s, n, *_ in got] == [(True, False), (False, True)]
+    assert all(j >= 0.8 for *_, j in got) and len(asked) <= 40
+
+
+def test_grouped_slices_and_held_groups_are_the_same():
+    import pyarrow as pa
+
+    r = np.random.default_rng(9)
+    key = np.sort(r.integers(0, 300, 2000))
+    table = pa.table({"key": key, "x": r.integers(0, 99, 2000), "l": pa.array([None if n == 9 else list(range(n)) for n in r.integers(0, 10, 2000)], pa.list_(pa.int64()))})
+    fn = lambda g: [pa.array(g["key"][:1]), pa.array([int(g["x"].sum())]), pa.array([int(g["l"][0].sum()) + 1000 * int(g["l"][1][-1])])] if g["key"][0] % 7 else None
+    want = [(k, sum(p["x"] for p in ps), sum(sum(p["l"] or []) + 1000 * len(p["l"] or []) for p in ps)) for k, ps in ((k, [p for p in table.to_pylist() if p["key"] == k]) for k in np.unique(key).tolist()) if k % 7]
+    for size in (1, 3, 64, 2000):
+        made = list(common._grouped(iter(table.to_batches(size)), table.column_names, ["key"], fn, ["key", "x", "l"]))
+        assert [tuple(x.values()) for m in made for x in m.to_pylist()] == want and len(made) <= 2
